@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, token_counts
+from . import arc, bpe, langid, mixing, quality, token_counts
 from .common import crc_mod, table
 
 
@@ -15,6 +15,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), target="entropy", goal=0.95)
+
+
+def op4_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.through_warc(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -35,9 +43,51 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op4_arc_warc": op4_arc_warc,
     "op5_bpe": op5_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS key,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM documents),
+t AS (SELECT key, sum(n) AS tokens, count(*) AS docs FROM d GROUP BY key),
+p AS (SELECT key, tokens, docs, tokens / (SELECT sum(tokens) FROM t) AS p FROM t),
+s AS (SELECT list(p) AS s, count(*) AS k FROM p WHERE tokens > 0),
+b AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 8.0::DOUBLE AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, mid, ln(list_sum([pow(x, mid) FOR x IN s])) - mid * list_sum([pow(x, mid) * ln(x) FOR x IN s]) / list_sum([pow(x, mid) FOR x IN s]) > 0.95 * ln(k) AS up
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM b, s) WHERE i < 60)),
+a AS (SELECT hi AS alpha FROM b WHERE i = 60),
+w AS (SELECT key, tokens, docs, alpha, CASE WHEN tokens > 0 THEN pow(p, alpha) / (SELECT sum(pow(p, alpha)) FROM p, a WHERE tokens > 0) ELSE 0 END AS weight FROM p, a),
+q AS (SELECT *, CAST(round(weight * (SELECT max(tokens / weight) FROM w WHERE tokens > 0)) AS BIGINT) AS quota, CAST(ceil(docs / 1000) AS BIGINT) AS blocks FROM w),
+r AS (SELECT *, greatest(1, CAST(ceil(quota / tokens) AS BIGINT)) AS passes FROM q),
+db AS (SELECT d.*, h % blocks AS block FROM d JOIN r USING (key)),
+bt AS (SELECT key, block, sum(n) AS b_tokens FROM db GROUP BY key, block),
+bp AS (SELECT bt.*, r.tokens, r.quota, r.weight, r.alpha, unnest(range(passes)) AS pass FROM bt JOIN r USING (key)),
+bs AS (SELECT *, pass * tokens + coalesce(sum(b_tokens) OVER (PARTITION BY key, pass ORDER BY md5('0|' || pass || '|' || key || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_start FROM bp),
+o AS (
+  SELECT doc_id, source, pass, quota, n, weight, alpha,
+         b_start + coalesce(sum(n) OVER (PARTITION BY key, pass, block ORDER BY md5('0|' || pass || '|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM db JOIN bs USING (key, block) WHERE b_start < greatest(quota, 1))
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_tokens, round(weight, 9) AS weight, round(alpha, 9) AS alpha
+FROM o WHERE start < greatest(quota, 1)
+""",
+    "op4_arc_warc": """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""",
+}
