@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, langid, mixing, quality, token_counts
+from . import arc, bpe, jaccard, langid, mixing, quality, token_counts
 from .common import crc_mod, table
 
 
@@ -27,6 +27,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_arc_warc": op4_arc_warc,
     "op5_bpe": op5_bpe,
+    "op6_jaccard": op6_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op10_quality": op10_quality,
