@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, jaccard, langid, mixing, quality, token_counts
+from . import arc, bpe, jaccard, langid, mixing, quality, substring, token_counts
 from .common import crc_mod, table
 
 
@@ -42,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_jaccard": op6_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -85,6 +90,17 @@ o AS (
   FROM db JOIN bs USING (key, block) WHERE b_start < greatest(quota, 1))
 SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_tokens, round(weight, 9) AS weight, round(alpha, 9) AS alpha
 FROM o WHERE start < greatest(quota, 1)
+""",
+    "op9_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d),
+x AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 12], ' ')) AS h FROM s),
+m AS (SELECT h, min(doc_id) AS first_id FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM x JOIN m USING (h) WHERE doc_id > first_id),
+r AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[j] FOR j IN range(1, len(w) + 1) IF NOT list_contains(gone, j)], ' ') END) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
 """,
     "op4_arc_warc": """
 WITH p AS (
