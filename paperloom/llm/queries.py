@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, jaccard, langid, mixing, quality, substring, token_counts
+from . import arc, bpe, jaccard, langid, mixing, ppm, quality, substring, token_counts
 from .common import crc_mod, table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_mod("doc_id", 7) == 2
+    return ppm.score(table(spark, sf_dir, "documents"), ~held, held)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), target="entropy", goal=0.95)
 
@@ -51,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ppm": op1_ppm,
     "op3_mixing": op3_mixing,
     "op4_arc_warc": op4_arc_warc,
     "op5_bpe": op5_bpe,
