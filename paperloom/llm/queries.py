@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, bpe, jaccard, langid, mixing, ppm, quality, substring, token_counts
+from . import arc, bpe, jaccard, langid, lsh, mixing, ppm, quality, substring, token_counts
 from .common import crc_mod, table
 
 
@@ -20,6 +20,10 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), ~held, held)
 
 
+def op2_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), target="entropy", goal=0.95)
 
@@ -57,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ppm": op1_ppm,
+    "op2_multiprobe": op2_multiprobe,
     "op3_mixing": op3_mixing,
     "op4_arc_warc": op4_arc_warc,
     "op5_bpe": op5_bpe,
