@@ -7,7 +7,8 @@ with the share of each script that a language's training words use. It is fitted
 A word's score for a language is its sum of trigram log probabilities; a language whose training words hardly use the
 word's script is no candidate. Viterbi picks a language for each word with ``penalty`` for each switch. Most texts
 have one language throughout; that path is proven best without the recursion when no run of words favours another
-language by over half the penalty (any path with m foreign runs has at least m/2 switches).
+language by more than the penalty (k runs of other languages between or beside words of the main one cost k switches
+at least) and the main language beats the best other language of each word in sum (no path without it is better).
 
 lang_pred: the language with most bytes of words in the path. score: the share of those bytes, times the chance that
 the language has against the others over its words. Null texts and texts without a letter give ``und`` and 0. Rows
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,8 +84,6 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     """Counts are summed on the executors; the driver gets SLOTS and N_SCRIPTS numbers a language at most."""
 
     def run(batches):
-        import pyarrow as pa
-
         sums: dict[str, np.ndarray] = {}
         for part in steps(batches, 0):
             for raw, lang in zip(texts_of(part.column(0)), part.column(1).to_pylist()):
@@ -109,26 +109,26 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     best = int(total.argmax())
     gain = np.cumsum(scores - scores[:, [best]], 0)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, gain.shape[1])), gain[:-1]]), 0)
-    if (gain - low).max() <= penalty / 2:
-        return np.full(len(scores), best)
-    n, m = scores.shape
-    back, at = np.empty((n, m), np.int32), scores[0].copy()
-    stay = np.arange(m)
-    back[0] = stay
-    for i in range(1, n):
-        top = int(at.argmax())
-        switch = at[top] - penalty > at
-        back[i] = np.where(switch, top, stay)
-        at = np.where(switch, at[top] - penalty, at) + scores[i]
-    path = np.empty(n, np.int32)
-    path[-1] = at.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i][path[i]]
-    return path
+    if (gain - low).max() <= penalty:
+        other = scores.copy()
+        other[:, best] = -np.inf
+        if scores.shape[1] == 1 or total[best] >= other.max(1).sum():
+            return np.full(len(scores), best)
+    rows = scores.tolist()
+    at, steps_back = rows[0], []
+    for row in rows[1:]:
+        top = max(at)
+        floor = top - penalty
+        steps_back.append((at, floor, at.index(top)))
+        at = [(x if x >= floor else floor) + y for x, y in zip(at, row)]
+    path = [at.index(max(at))]
+    for at, floor, top in reversed(steps_back):
+        path.append(path[-1] if at[path[-1]] >= floor else top)
+    return np.array(path[::-1])
 
 
 class Labeller:
-    def __init__(self, model: Model, penalty: float = 8.0):
+    def __init__(self, model: Model, penalty: float = 12.0):
         self.m, self.penalty = model, penalty
 
     def words(self, text: str):
@@ -160,7 +160,7 @@ class Labeller:
         return [(self.m.names[int(path[a])], int(b - a)) for a, b in zip([0, *cut], [*cut, len(path)])]
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 8.0) -> DataFrame:
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """id, lang_pred, score."""
     held = df.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -177,7 +177,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return per_text(df, id_col, text_col, out, make)
 
 
-def label_spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 8.0) -> DataFrame:
+def label_spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """id, spans: array of (lang, words) in text order."""
     held = df.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())])
