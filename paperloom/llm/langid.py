@@ -177,6 +177,20 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return per_text(df, id_col, text_col, out, make)
 
 
+def keep(df: DataFrame, model: Model, least: float = 0.4, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
+    """The rows, all columns unchanged, whose language is known and scores ``least`` at least."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        label = Labeller(held.value, penalty)
+        for part in steps(batches, at):
+            good = [a != "und" and b >= least for a, b in (label.predict(t.decode("utf-8", "replace")) for t in texts_of(part.column(at)))]
+            yield part.filter(pa.array(good, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def label_spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """id, spans: array of (lang, words) in text order."""
     held = df.sparkSession.sparkContext.broadcast(model)
