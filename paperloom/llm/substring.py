@@ -7,8 +7,9 @@ windows repeat across documents are looked at again:
 * at each length a full window is stood for by its shorter window with the least hash, so equal full windows name
   equal short ones and a quarter of the positions or so are sent;
 * a task first compares what it holds: hashes in several of its documents are settled there and each hash leaves the
-  task once, however many documents share it. What is left is counted over all tasks, and the documents that hold a
-  repeated hash go on to the next length;
+  task once, however many documents share it. Hashes go, packed in arrays, to the parts that own them; a part settles
+  what two tasks share, and sends the positions to the parts that own the documents. Documents with repeated windows
+  go on to the next length;
 * at the full length the smallest id of each hash decides. ``repeats`` goes on doubling beyond the window until no
   candidate survives, to say how long the repeated passages are.
 
@@ -25,11 +26,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, per_text, steps, texts_of, windows, written
+from .common import hash_words, per_text, steps, tasks, texts_of, windows, written
 
 #: Hashes that a task compares at once (40 bytes each).
 HELD = 1_500_000
@@ -61,15 +63,6 @@ def stand_ins(h: np.ndarray, length: int, window: int) -> tuple[np.ndarray, np.n
     return short, at
 
 
-def runs_of(positions: np.ndarray) -> list[int]:
-    """Sorted positions as start, end, start, end, ..."""
-    if not len(positions):
-        return []
-    cut = np.flatnonzero(np.diff(positions) > 1)
-    starts, ends = positions[np.concatenate(([0], cut + 1))], positions[np.concatenate((cut, [len(positions) - 1]))] + 1
-    return np.stack((starts, ends), 1).ravel().tolist()
-
-
 def positions_of(runs: list[int], n: int) -> np.ndarray:
     """Mask of n positions from runs."""
     mask = np.zeros(n, bool)
@@ -79,22 +72,22 @@ def positions_of(runs: list[int], n: int) -> np.ndarray:
 
 
 class Level:
-    """Compares the windows of one length inside a task. Rows: kind, hash, id, pos, runs.
+    """Compares the windows of one length inside a task. Rows: part, hashes, pos, several, ids, ends.
 
-    kind 0: a hash that the task has in one document (at the last level: in its smallest); 1: a hash that the task has
-    in several; 2: positions of a document that are settled here (below the last level: repeated; at it: removed).
+    Packed rows go to the parts that own their hashes. several marks a hash that the task has in more than one
+    document; at the last level each hash leaves the task with its smallest document only. Positions that are settled
+    here (below the last level: repeated; at it: removed) travel with them as ``ids`` with start ``pos`` and ``ends``.
     """
 
-    def __init__(self, length: int, before: int | None, window: int, id_type: pa.DataType):
-        self.length, self.before, self.window, self.id_type = length, before, window, id_type
+    def __init__(self, length: int, before: int | None, window: int, id_type: pa.DataType, parts: int):
+        self.length, self.before, self.window, self.id_type, self.parts = length, before, window, id_type, parts
         self.last = length == window
-        self.names = ["kind", "hash", "id", "pos", "runs"]
 
-    def picked(self, raw: bytes, marks: list[int] | None, seen: dict) -> tuple[np.ndarray, np.ndarray, int]:
-        """Hashes and positions to compare, and the number of words."""
+    def picked(self, raw: bytes, marks: list[int] | None, seen: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and positions to compare."""
         words = raw.split()
         if len(words) < self.window:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), len(words)
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         h = hash_words(words, seen)
         alive = None
         if self.before:
@@ -102,102 +95,177 @@ class Level:
             alive = positions_of(marks or [], len(h))[at]
         if self.last:
             pos = np.arange(len(h) - self.window + 1) if alive is None else np.flatnonzero(alive)
-            return windows(h, self.window)[pos], pos, len(words)
+            return windows(h, self.window)[pos], pos
         short, at = stand_ins(h, self.length, self.window)
         pos = np.unique(at if alive is None else at[alive])
-        return short[pos], pos, len(words)
+        return short[pos], pos
 
-    def flush(self, held: list[tuple]) -> list[pa.RecordBatch]:
+    def flush(self, held: list[tuple]):
         ids = sorted({x[0] for x in held})
         rank = {x: i for i, x in enumerate(ids)}
         doc = np.repeat([rank[x[0]] for x in held], [len(x[1]) for x in held]).astype(np.int64)
         hashes, pos = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-        order = np.lexsort((doc, hashes))
-        hashes, doc, pos = hashes[order], doc[order], pos[order]
-        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        group = np.cumsum(new) - 1
-        ends = np.concatenate((np.flatnonzero(new)[1:], [len(new)]))
-        several = (doc[ends - 1] != doc[np.flatnonzero(new)])[group]
-        smallest = doc == doc[first]
+        by, doc, new, group, ends = grouped(hashes, doc)
+        hashes, pos = hashes[by], pos[by]
+        first = np.flatnonzero(new)
+        several = (doc[ends - 1] != doc[first])[group]
         if self.last:
-            sent, kind, settled = smallest, np.zeros(len(doc), np.int8), ~smallest
+            sent = doc == doc[first][group]
+            settled = ~sent
         else:
-            sent, kind, settled = ~several | new, several.astype(np.int8), several
+            sent, settled = ~several | new, several
         id_array = pa.array(ids, self.id_type)
-        n = int(sent.sum())
-        out = [pa.RecordBatch.from_arrays([pa.array(kind[sent], pa.int8()), pa.array(hashes[sent].view(np.int64), pa.int64()), id_array.take(pa.array(doc[sent])), pa.array(pos[sent], pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], names=self.names)]
+        yield from self.packed(hashes[sent], doc[sent], pos[sent], several[sent], id_array)
         if settled.any():
-            d, p = doc[settled], pos[settled]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
-            cut = np.flatnonzero(np.diff(d)) + 1
-            runs = [runs_of(np.unique(x)) for x in np.split(p, cut)]
-            out.append(self.settled([ids[i] for i in d[np.concatenate(([0], cut))]], runs))
-        return out
-
-    def settled(self, ids: list, runs: list[list[int]], kind: int = 2) -> pa.RecordBatch:
-        n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int8()), pa.nulls(n, pa.int64()), pa.array(ids, self.id_type), pa.nulls(n, pa.int32()), pa.array(runs, pa.list_(pa.int32()))], names=self.names)
+            who, starts, stops = runs_by(doc[settled], pos[settled])
+            yield settled_row(0, id_array.take(pa.array(who)), starts, stops)
+
+    def packed(self, hashes, doc, pos, several, id_array):
+        part = (hashes % np.uint64(self.parts)).astype(np.int64)
+        order = np.lexsort((pos, doc, part))
+        hashes, doc, pos, several, part = hashes[order], doc[order], pos[order].astype("<i4"), several[order].astype(np.int8), part[order]
+        cut = np.searchsorted(part, np.arange(self.parts + 1))
+        for p in range(self.parts):
+            x, y = cut[p], cut[p + 1]
+            if x < y:
+                yield row_of(p, hashes[x:y].tobytes(), pos[x:y].tobytes(), several[x:y].tobytes(), id_array.take(pa.array(doc[x:y])), None)
 
     def __call__(self, batches):
         seen: dict[bytes, int] = {}
-        held, size, copies = [], 0, {}
-
-        def flush():
-            return self.flush(held) if size else []
-
+        held, size = [], 0
         for part in steps(batches):
             marks = part.column(2).to_pylist() if self.before else [None] * part.num_rows
             for i, raw, mark in zip(part.column(0).to_pylist(), texts_of(part.column(1)), marks):
-                hashes, pos, _ = self.picked(raw, mark, seen)
+                hashes, pos = self.picked(raw, mark, seen)
                 if not len(hashes):
                     continue
                 held.append((i, hashes, pos))
                 size += len(hashes)
                 if size >= HELD:
-                    yield from flush()
+                    yield from self.flush(held)
                     held, size = [], 0
-        yield from flush()
+        if size:
+            yield from self.flush(held)
+
+    def compare(self, batches):
+        """Rows of the parts to settled rows, dealt to parts by document."""
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(1)[i].as_py() is None:
+                    yield from self.dealt(batch.column(4)[i].values, np.frombuffer(batch.column(2)[i].as_py(), "<i4"), np.frombuffer(batch.column(5)[i].as_py(), "<i4"))
+                else:
+                    held.setdefault(batch.column(0)[i].as_py(), []).append((*(batch.column(c)[i].as_py() for c in (1, 2, 3)), batch.column(4)[i].values))
+        for p in list(held):
+            rows = held.pop(p)
+            hashes, pos, several = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((0, np.uint64), (1, "<i4"), (2, np.int8)))
+            ids, doc = ranked(pa.concat_arrays([r[3] for r in rows]))
+            by, doc, new, group, ends = grouped(hashes, doc)
+            pos, several = pos[by], several[by]
+            first = np.flatnonzero(new)
+            if self.last:
+                settled = doc > doc[first][group]
+            else:
+                again = (doc[ends - 1] != doc[first]) | (np.maximum.reduceat(several, first) > 0)
+                settled = again[group] & (several == 0)
+            if settled.any():
+                who, starts, stops = runs_by(doc[settled], pos[settled])
+                yield from self.dealt(ids.take(pa.array(who)), starts, stops)
+
+    def dealt(self, ids: pa.Array, starts: np.ndarray, stops: np.ndarray):
+        """Settled runs as one row for each part of documents."""
+        part = np.array([xxhash.xxh3_64_intdigest(str(x)) % self.parts for x in ids.to_pylist()], np.int64)
+        order = np.argsort(part, kind="stable")
+        part, starts, stops, ids = part[order], np.asarray(starts)[order], np.asarray(stops)[order], ids.take(pa.array(order))
+        cut = np.searchsorted(part, np.arange(self.parts + 1))
+        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            x, y = cut[p], cut[p + 1]
+            yield settled_row(p, ids.slice(x, y - x), starts[x:y], stops[x:y])
+
+    def merged(self, batches):
+        """Settled rows of the documents of each part to (id, runs)."""
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.setdefault(batch.column(0)[i].as_py(), []).append((np.frombuffer(batch.column(2)[i].as_py(), "<i4"), np.frombuffer(batch.column(5)[i].as_py(), "<i4"), batch.column(4)[i].values))
+        for p in list(held):
+            rows = held.pop(p)
+            starts, stops = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+            ids, doc = ranked(pa.concat_arrays([r[2] for r in rows]))
+            order = np.lexsort((starts, doc))
+            flat = np.stack((starts[order], stops[order]), 1).ravel()
+            ends = 2 * np.searchsorted(doc[order], np.arange(len(ids) + 1))
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["id", "runs"])
+
+
+def grouped(hashes: np.ndarray, doc: np.ndarray):
+    """Order by (hash, document); documents in it, where groups of a hash begin, each row's group, each group's end."""
+    by = np.lexsort((doc, hashes))
+    sorted_ = hashes[by]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+    return by, doc[by], new, np.cumsum(new) - 1, np.concatenate((np.flatnonzero(new)[1:], [len(new)]))
+
+
+def ranked(ids: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct ids in order, and the index of each id in them."""
+    import pyarrow.compute as pc
+
+    distinct = pc.unique(ids)
+    distinct = distinct.take(pc.sort_indices(distinct))
+    return distinct, pc.index_in(ids, distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def runs_by(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of each run of consecutive positions."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    begin = np.concatenate(([True], (doc[1:] != doc[:-1]) | (np.diff(pos) > 1)))
+    first = np.flatnonzero(begin)
+    last = np.concatenate((first[1:], [len(pos)])) - 1
+    return doc[first], pos[first], pos[last] + 1
+
+
+ROW = ["part", "hashes", "pos", "several", "ids", "ends"]
+
+
+def row_of(part, hashes, pos, several, ids: pa.Array, ends) -> pa.RecordBatch:
+    listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([hashes], pa.binary()), pa.array([pos], pa.binary()), pa.array([several], pa.binary()), listed, pa.array([ends], pa.binary())], names=ROW)
+
+
+def settled_row(part: int, ids: pa.Array, starts, stops) -> pa.RecordBatch:
+    return row_of(part, None, np.asarray(starts).astype("<i4").tobytes(), None, ids, np.asarray(stops).astype("<i4").tobytes())
 
 
 def _schema(id_type) -> T.StructType:
-    kinds = (("kind", T.ByteType()), ("hash", T.LongType()), ("id", id_type), ("pos", T.IntegerType()), ("runs", T.ArrayType(T.IntegerType())))
+    kinds = (("part", T.IntegerType()), ("hashes", T.BinaryType()), ("pos", T.BinaryType()), ("several", T.BinaryType()), ("ids", T.ArrayType(id_type)), ("ends", T.BinaryType()))
     return T.StructType([T.StructField(a, b) for a, b in kinds])
 
 
 def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """id, text, runs of the documents in marks (id, runs); their ids are broadcast while few."""
-    ids = marks.select("id")
     if marks.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), "id", "left_semi")
+        docs = docs.join(F.broadcast(marks.select("id")), "id", "left_semi")
     return docs.join(marks, "id").select("id", "text", "runs")
 
 
-def _by_document(*settled: DataFrame) -> DataFrame:
-    """(id, runs) and (id, pos) frames as one row of runs a document."""
-    one = settled[0].select("id", "runs").union(settled[1].select("id", F.array("pos", F.col("pos") + 1).alias("runs")))
-    return written(one.groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")), "marks")
-
-
 def repeated_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """id, runs: starts of the document's windows that also start in a document with a smaller id, as start, end pairs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    parts = 2 * tasks(df.sparkSession)
+    runs = T.StructType([T.StructField("id", id_type), T.StructField("runs", T.ArrayType(T.IntegerType()))])
     rows, before = docs, None
     for length in lengths(window):
-        level = Level(length, before, window, to_arrow_type(id_type))
-        found = written(rows.mapInArrow(level.__call__, _schema(id_type)), f"level-{length}")
-        sent, settled = found.filter("kind < 2"), found.filter("kind = 2")
-        if length == window:
-            least = sent.groupBy("hash").agg(F.min("id").alias("m"), F.max("id").alias("x")).filter("m < x").drop("x")
-            return _by_document(settled, sent.join(least, "hash").filter("id > m"))
-        # a hash that one task has in several documents is settled there; else two tasks must have it in two documents
-        again = sent.groupBy("hash").agg(F.max("kind").alias("k"), F.min("id").alias("m"), F.max("id").alias("x")).filter("k > 0 OR m < x").select("hash")
-        marks = _by_document(settled, sent.filter("kind = 0").join(again, "hash"))
-        rows, before = written(_texts(docs, marks), f"texts-{length}"), length
+        level = Level(length, before, window, to_arrow_type(id_type), parts)
+        sent = rows.mapInArrow(level.__call__, _schema(id_type)).repartition(parts, "part")
+        settled = sent.mapInArrow(level.compare, _schema(id_type)).repartition(parts, "part")
+        marks = written(settled.mapInArrow(level.merged, runs), f"marks-{length}")
+        if length < window:
+            rows, before = _texts(docs, marks), length
+    return marks
 
 
 def covered(runs: list[int], n: int, window: int) -> np.ndarray:
