@@ -188,7 +188,7 @@ def validated(rows: DataFrame, vocabulary: dict[str, list[str]], raw: str = "raw
 
     Text around the JSON is cut away; what still does not read is a failure of its own.
     """
-    parsed = F.coalesce(F.from_json(raw, MODEL), F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), MODEL))
+    parsed = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), MODEL)
     out = rows.withColumn("_m", parsed)
     bad = F.col("_m").isNull() | F.col("_m.keep").isNull()
     fields, reasons = {}, [F.when(bad, F.lit("unreadable_model_output"))]

@@ -114,9 +114,11 @@ def sql(text: str) -> str:
     order = [n for n in _CTES if n in used]
     ctes = ",\n".join(f"{n}_v AS ({_view(n)})" for n in order)
     body = text.strip()
+    if not ctes:
+        return body
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}" if ctes else body
+    return f"WITH {ctes}\n{body}"
 
 
 def _view(name: str) -> str:

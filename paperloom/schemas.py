@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema of 'name kind, ...' text; needs no session, unlike Spark's own parser."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.strip().split(" ") for f in text.split(","))])
 
 
 #: The record that every source is normalised to. published_date stays text until ingestion, so that what does not parse can be flagged.
