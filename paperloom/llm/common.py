@@ -62,18 +62,9 @@ def per_text(df: DataFrame, id_col: str, text_col: str, out: T.StructType, make:
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def hash_words(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words; ``seen`` is a cache that is emptied when it grows too large."""
-    get = seen.get
-    out = list(map(get, words))
-    if None in out:
-        if len(seen) > 600_000:
-            seen.clear()
-        h = xxhash.xxh3_64_intdigest
-        for w in {w for w, x in zip(words, out) if x is None}:
-            seen[w] = h(w)
-        out = [seen[w] if x is None else x for w, x in zip(words, out)] if len(seen) < 600_000 else [h(w) if x is None else x for w, x in zip(words, out)]
-    return np.array(out, dtype=np.uint64)
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words. Hashing anew is faster than a cache, and needs no memory."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

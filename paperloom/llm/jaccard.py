@@ -45,9 +45,9 @@ LIMIT = 1_500_000
 BROADCAST_IDS = 2_000_000
 
 
-def shingles(raw: bytes, words: int, seen: dict[bytes, int]) -> np.ndarray:
+def shingles(raw: bytes, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    h = hash_words(raw.lower().split(), seen)
+    h = hash_words(raw.lower().split())
     if not len(h):
         return h
     if len(h) < words:
@@ -190,12 +190,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, num: int,
     out = T.StructType([T.StructField(x, T.LongType()) for x in ("n_shingles", "h1", "h2", "p", "rc")] + [T.StructField("toks", T.ArrayType(T.LongType()))])
 
     def make():
-        seen: dict[bytes, int] = {}
 
         def f(texts):
             rows = []
             for raw in texts:
-                s = shingles(raw, words, seen)
+                s = shingles(raw, words)
                 n = len(s)
                 h = xxhash.xxh3_128_digest(s.tobytes())
                 tok = np.sort(s.view(np.int64))
@@ -240,13 +239,12 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
     arrow = pa.int64() if isinstance(id_type, T.LongType) else None
 
     def small_block(batches):
-        seen: dict[bytes, int] = {}
         block = Block(num, den)
 
         def found():
             for (c,), rows in by_group(batches, 1):
                 rows.sort(key=lambda r: r[0] != c)  # the centre first
-                sets = [shingles(t, words, seen) for _, t in rows]
+                sets = [shingles(t, words) for _, t in rows]
                 star = block.star(sets)
                 for i in np.flatnonzero(star).tolist():
                     yield rows[i][0], c
@@ -271,13 +269,12 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
 
     def meet(batches):
         """Members of a part against the centre, which every part holds."""
-        seen: dict[bytes, int] = {}
         block = Block(num, den)
 
         def found():
             for (c, _), rows in by_group(batches, 2):
                 rows.sort(key=lambda r: r[0] != c)
-                star = block.star([shingles(t, words, seen) for _, t in rows])
+                star = block.star([shingles(t, words) for _, t in rows])
                 yield from ((c, r[0], s) for r, s in zip(rows[1:], star.tolist()[1:]))
 
         yield from _batches(found(), ["c", "id", "joined"], [arrow, arrow, pa.bool_()])
@@ -291,12 +288,11 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
     tiles = rest.groupBy("c").agg(F.ceil(F.sum("n") / limit).alias("tiles")).join(large.select("c", "parts").distinct(), "c")
 
     def tile(batches):
-        seen: dict[bytes, int] = {}
         block = Block(num, den)
 
         def found():
             for _, rows in by_group(batches, 3):
-                sets = [shingles(t, words, seen) for *_, t in rows]
+                sets = [shingles(t, words) for *_, t in rows]
                 probes = [i for i, r in enumerate(rows) if r[1]]
                 for i, j in block.search(sets, probes, list(range(len(rows)))):
                     yield rows[i][0], rows[j][0]

@@ -36,8 +36,9 @@ from .common import hash_words, mix, steps, tasks, texts_of
 
 PAD, END = b"\xff", b"\xfe"
 SYMBOLS = 255
-#: Bytes of a text that are coded at once.
-PIECE = 4 << 20
+#: Bytes of text that are coded at once, and that one step holds.
+PIECE = 1 << 19
+STEP = 1 << 20
 _END_TOKEN = b"\n"  # no word holds white space
 _TOKEN = np.uint64(1 << 63)  # word hashes have this bit, strings of up to seven bytes have not
 _BYTE = np.uint64(8)
@@ -177,16 +178,16 @@ def owner(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(np.where(token, keys, (keys >> _BYTE) & np.uint64(0xFFFFFF))) % np.uint64(parts)).astype(np.int32)
 
 
-def _words(words: list[bytes], seen: dict) -> np.ndarray:
-    return hash_words(words, seen) | _TOKEN
+def _words(words: list[bytes]) -> np.ndarray:
+    return hash_words(words) | _TOKEN
 
 
 def gather(order: int, parts: int):
     """Chunk texts to rows (part, chunk, keys, counts, n): one for each part, empty ones included."""
 
     def run(batches):
-        grams, tokens, chunk, n, seen = Tally(), Tally(), None, 0, {}
-        for part in steps(batches, 2):
+        grams, tokens, chunk, n = Tally(), Tally(), None, 0
+        for part in steps(batches, 2, STEP):
             chunk = part.column(0)[0].as_py()
             for train in (True, False):
                 rows = part.filter(pa.compute.equal(part.column(1), pa.scalar(train)))
@@ -196,7 +197,7 @@ def gather(order: int, parts: int):
                 for code, _ in strings([t for t, _ in texts], order):
                     grams.add(code, train)
                 words = [w for _, ws in texts for w in (*ws, _END_TOKEN)]
-                tokens.add(_words(words, seen), train)
+                tokens.add(_words(words), train)
                 n += len(words) * train
         if chunk is None:
             return
@@ -244,8 +245,8 @@ def apply(order: int, names: list[str]):
     """Rows sorted by (chunk, kind): first the answers of all parts, then the texts."""
 
     def run(batches):
-        chunk, answers, grams, tokens, n, v, seen = None, [], None, None, 0, 0, {}
-        for part in steps(batches, names.index("text")):
+        chunk, answers, grams, tokens, n, v = None, [], None, None, 0, 0
+        for part in steps(batches, names.index("text"), STEP):
             col = {name: part.column(i) for i, name in enumerate(names)}
             for c in col["chunk"].unique().to_pylist():
                 rows = pa.compute.equal(col["chunk"], pa.scalar(c, pa.int32()))
@@ -268,7 +269,7 @@ def apply(order: int, names: list[str]):
                 for code, which in strings([d for d, _ in docs], order):
                     score += np.bincount(which, grams(code), len(docs))
                 words = [w for _, ws in docs for w in (*ws, _END_TOKEN)]
-                c = tokens(_words(words, seen)).astype(np.float64)
+                c = tokens(_words(words)).astype(np.float64)
                 of = np.repeat(np.arange(len(docs)), [len(ws) + 1 for _, ws in docs])
                 n_tokens = np.bincount(of, minlength=len(docs))
                 known = np.bincount(of, c > 0, len(docs)).astype(np.int64)
@@ -281,7 +282,7 @@ def apply(order: int, names: list[str]):
 def triples(batches):
     """Counts of byte triples of the training texts; at most 255^3 rows a task."""
     sums = np.zeros(1 << 24, np.int64)
-    for part in steps(batches, 0):
+    for part in steps(batches, 0, STEP):
         for code, _ in strings([normal(x)[0] for x in texts_of(part.column(0))], 2):
             sums += np.bincount(code.astype(np.int64), minlength=1 << 24)
     at = np.flatnonzero(sums)
@@ -297,7 +298,7 @@ def score(df: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id"
     docs = df.select(F.spark_partition_id().alias("chunk"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     low = docs.filter("train").select("text").mapInArrow(triples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     low = spark.sparkContext.broadcast((low["code"].to_numpy(np.uint64), low["n"].to_numpy(np.int64)))
-    parts = 2 * tasks(spark)
+    parts = tasks(spark)
     sent = docs.select("chunk", "train", "text").mapInArrow(gather(order, parts), "part int, chunk int, keys binary, counts binary, n long")
     told = sent.repartition(parts, "part").mapInArrow(answer(order, least, low), "chunk int, keys binary, values binary, weight binary, n long, v long")
     id_type = df.schema[id_col].dataType

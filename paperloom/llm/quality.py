@@ -47,7 +47,7 @@ def failure(line: str, n_words: int, max_symbol_share: float = 0.3, min_line_wor
     return None
 
 
-def measure(raw: bytes, seen: dict[bytes, int]) -> list[int]:
+def measure(raw: bytes) -> list[int]:
     """The LONGS of a text."""
     words = raw.split()
     chars = len(raw) - sum(map(raw.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")))
@@ -58,7 +58,7 @@ def measure(raw: bytes, seen: dict[bytes, int]) -> list[int]:
     lines = [x for x in raw.split(b"\n") if x.strip(_BLANK)]
     repeated = 0
     if len(words) >= 3:
-        w = windows(hash_words(words, seen), 3)
+        w = windows(hash_words(words), 3)
         order = np.argsort(w, kind="stable")
         same = w[order][1:] == w[order][:-1]
         if same.any():
@@ -89,12 +89,11 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_los
     fields += [T.StructField("clean_text", T.StringType())] * with_text
 
     def make():
-        seen: dict[bytes, int] = {}
 
         def f(texts):
             rows = []
             for raw in texts:
-                m = measure(raw, seen)
+                m = measure(raw)
                 text, lost, failed = clean_lines(raw.decode("utf-8", "replace"), **limits)
                 base = m[0] < min_words or 100 * m[4] > max_repeat * m[0]
                 rows.append([*m, base, not base and lost <= max_lost * m[0], lost, len(failed), *[text] * with_text])

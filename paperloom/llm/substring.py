@@ -83,12 +83,12 @@ class Level:
         self.length, self.before, self.window, self.id_type, self.parts = length, before, window, id_type, parts
         self.last = length == window
 
-    def picked(self, raw: bytes, marks: list[int] | None, seen: dict) -> tuple[np.ndarray, np.ndarray]:
+    def picked(self, raw: bytes, marks: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and positions to compare."""
         words = raw.split()
         if len(words) < self.window:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        h = hash_words(words, seen)
+        h = hash_words(words)
         alive = None
         if self.before:
             _, at = stand_ins(h, self.before, self.window)
@@ -131,12 +131,11 @@ class Level:
                 yield row_of(p, hashes[x:y].tobytes(), pos[x:y].tobytes(), several[x:y].tobytes(), id_array.take(pa.array(doc[x:y])), None)
 
     def __call__(self, batches):
-        seen: dict[bytes, int] = {}
         held, size = [], 0
         for part in steps(batches):
             marks = part.column(2).to_pylist() if self.before else [None] * part.num_rows
             for i, raw, mark in zip(part.column(0).to_pylist(), texts_of(part.column(1)), marks):
-                hashes, pos = self.picked(raw, mark, seen)
+                hashes, pos = self.picked(raw, mark)
                 if not len(hashes):
                     continue
                 held.append((i, hashes, pos))
@@ -364,19 +363,17 @@ def holders(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:
     """Ids of the documents that hold a window listed in starts, the smaller documents included."""
 
     def listed(batches):
-        seen: dict[bytes, int] = {}
         for part in steps(batches):
             got = []
             for raw, runs in zip(texts_of(part.column(1)), part.column(2).to_pylist()):
-                w = windows(hash_words(raw.split(), seen), window)
+                w = windows(hash_words(raw.split()), window)
                 got.append(w[positions_of(runs, len(w))])
             flat = np.unique(np.concatenate(got)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64())], names=["hash"])
 
     def all_windows(batches):
-        seen: dict[bytes, int] = {}
         for part in steps(batches):
-            got = [np.unique(windows(hash_words(raw.split(), seen), window)) for raw in texts_of(part.column(1))]
+            got = [np.unique(windows(hash_words(raw.split()), window)) for raw in texts_of(part.column(1))]
             ids = part.column(0).take(pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(got).view(np.int64), pa.int64())], names=["id", "hash"])
 
