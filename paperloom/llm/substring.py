@@ -147,12 +147,13 @@ class Level:
             yield from self.flush(held)
 
     def compare(self, batches):
-        """Rows of the parts to settled rows, dealt to parts by document."""
+        """Rows of the parts to settled rows, dealt to parts by document once for the whole task."""
         held: dict[int, list] = {}
+        done: list[tuple] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column(1)[i].as_py() is None:
-                    yield from self.dealt(batch.column(4)[i].values, np.frombuffer(batch.column(2)[i].as_py(), "<i4"), np.frombuffer(batch.column(5)[i].as_py(), "<i4"))
+                    done.append((batch.column(4)[i].values, np.frombuffer(batch.column(2)[i].as_py(), "<i4"), np.frombuffer(batch.column(5)[i].as_py(), "<i4")))
                 else:
                     held.setdefault(batch.column(0)[i].as_py(), []).append((*(batch.column(c)[i].as_py() for c in (1, 2, 3)), batch.column(4)[i].values))
         for p in list(held):
@@ -169,7 +170,9 @@ class Level:
                 settled = again[group] & (several == 0)
             if settled.any():
                 who, starts, stops = runs_by(doc[settled], pos[settled])
-                yield from self.dealt(ids.take(pa.array(who)), starts, stops)
+                done.append((ids.take(pa.array(who)), starts, stops))
+        if done:
+            yield from self.dealt(pa.concat_arrays([d[0] for d in done]), *(np.concatenate([d[i] for d in done]) for i in (1, 2)))
 
     def dealt(self, ids: pa.Array, starts: np.ndarray, stops: np.ndarray):
         """Settled runs as one row for each part of documents."""
@@ -254,7 +257,7 @@ def repeated_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = df.schema[id_col].dataType
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    parts = 2 * tasks(df.sparkSession)
+    parts = tasks(df.sparkSession)
     runs = T.StructType([T.StructField("id", id_type), T.StructField("runs", T.ArrayType(T.IntegerType()))])
     rows, before = docs, None
     for length in lengths(window):
