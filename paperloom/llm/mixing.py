@@ -30,8 +30,8 @@ def _meets(target: str) -> str:
     """SQL: whether exponent ``a`` lies below the one sought, over shares ``s`` (array of tokens > 0) with sum ``total``."""
     z = "aggregate(s, 0D, (x, t) -> x + pow(t / total, a))"
     if target == "entropy":
-        return f"ln({z}) - a * aggregate(s, 0D, (x, t) -> x + pow(t / total, a) * ln(t / total)) / {z} > goal * ln(size(s))"
-    return "pow(array_max(s) / array_min(s), 1 - a) > goal"
+        return f"ln({z}) - a * aggregate(s, 0D, (x, t) -> x + pow(t / total, a) * ln(t / total)) / nullif({z}, 0D) > goal * ln(size(s))"
+    return "pow(array_max(s) / nullif(array_min(s), 0D), 1 - a) > goal"
 
 
 def weights(totals: DataFrame, target: str, goal: float, budget: float | None) -> DataFrame:
@@ -43,7 +43,7 @@ def weights(totals: DataFrame, target: str, goal: float, budget: float | None) -
     step = _meets(target).replace("pow(t / total, a)", f"pow(t / total, {mid})").replace("a * agg", f"{mid} * agg").replace("1 - a", f"1 - {mid}")
     one = one.withColumn("r", F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('lo', {low}D, 'hi', {high}D), (r, i) -> if({step}, named_struct('lo', {mid}, 'hi', r.hi), named_struct('lo', r.lo, 'hi', {mid})))"))
     one = one.withColumn("alpha", F.expr("r.hi")).withColumn("z", F.expr("aggregate(s, 0D, (x, t) -> x + pow(t / total, alpha))"))
-    one = one.withColumn("all", F.expr("transform(all, x -> named_struct('source', x.source, 'tokens', x.tokens, 'docs', x.docs, 'weight', if(x.tokens > 0, pow(x.tokens / total, alpha) / z, 0D)))"))
+    one = one.withColumn("all", F.expr("transform(all, x -> named_struct('source', x.source, 'tokens', x.tokens, 'docs', x.docs, 'weight', if(x.tokens > 0, pow(x.tokens / total, alpha) / nullif(z, 0D), 0D)))"))
     spent = F.lit(float(budget)) if budget is not None else F.expr("array_max(transform(filter(all, x -> x.tokens > 0), x -> x.tokens / x.weight))")
     one = one.withColumn("budget", F.coalesce(spent, F.lit(0.0)))
     return one.select("alpha", "budget", F.explode("all").alias("x")).select("x.*", "alpha", F.round(F.col("x.weight") * F.col("budget")).cast("long").alias("quota"))
@@ -60,7 +60,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     docs = written(docs.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")), "mix-tokens")
     sources = docs.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
     sources = weights(sources, target, goal, budget)
-    sources = sources.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)).withColumn("passes", F.greatest(F.lit(1), F.ceil(F.col("quota") / F.col("tokens"))))
+    sources = sources.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)).withColumn("passes", F.greatest(F.lit(1), F.ceil(F.try_divide("quota", "tokens"))))
     sources = sources.withColumn("source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))  # a key without nulls
     docs = docs.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))).join(sources.select(F.col("source").alias("key"), "blocks"), "key")
     docs = docs.withColumn("block", F.pmod(F.col("h"), F.col("blocks"))).drop("blocks", "h")
