@@ -80,3 +80,10 @@ def page_of(url: Column) -> Column:
 
 def status_tone(name: Column) -> Column:
     return F.when(name.startswith("In Force") | name.startswith("Open"), "positive").when(name.startswith("Draft"), "draft").otherwise("neutral")
+
+
+def first_link(file: Column, flipbook: Column, external: Column) -> Column:
+    """Struct of url and kind: the file's link before the flipbook's before an external one."""
+    blank = lambda c: F.when(c != "", c)
+    f, b, e = map(blank, (file, flipbook, external))
+    return F.struct(F.coalesce(f, b, e).alias("url"), F.when(f.isNotNull(), "file").when(b.isNotNull(), "flipbook").when(e.isNotNull(), "external").otherwise("none").alias("kind"))

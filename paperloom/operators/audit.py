@@ -135,3 +135,22 @@ def facet_pivot(tag: DataFrame, regulator: DataFrame, facets: list[str]) -> Data
     """Active tags by regulator, one column a facet; the facets are given, so no extra pass looks for them."""
     rows = tag.filter("status = 'ACTIVE'").groupBy("regulator_id").pivot("facet", facets).count().na.fill(0)
     return rows.join(regulator.select("regulator_id", "code"), "regulator_id").select("code", *[F.col(f).alias(f.lower()) for f in facets])
+
+
+def tone_cycle(rows: DataFrame, name: str, position: str, tones: int = 12) -> DataFrame:
+    """Names with a colour number by order of first appearance; names are a dimension."""
+    first = rows.groupBy(name).agg(F.min(position).alias("first"))
+    return first.select(name, ((F.dense_rank().over(Window.orderBy("first", name)) - 1) % tones).alias("tone"))
+
+
+def roles(entry: DataFrame, tag: DataFrame) -> DataFrame:
+    """Entries with the names of their subject and instrument: one dimension in two roles."""
+    names = tag.select("tag_id", "name")
+    s = names.select(F.col("tag_id").alias("subject_id"), F.col("name").alias("subject"))
+    i = names.select(F.col("tag_id").alias("instrument_id"), F.col("name").alias("instrument"))
+    return entry.join(s, "subject_id", "left").join(i, "instrument_id", "left")
+
+
+def kept_or_dropped(rows: DataFrame, keep, method: str = "dropped_by_prefilter") -> DataFrame:
+    """Rows with ``kept`` and the method that dropped them; none is removed."""
+    return rows.withColumn("kept", keep).withColumn("method", F.when(~keep, method))

@@ -769,3 +769,177 @@ def cosine_top_chunks(t):
     scored = e.select("vec_id", F.greatest(*(text.cosine(F.col("embedding"), q) for q in queries)).alias("s"))
     top = scored.agg(F.max("s")).first()[0]
     return scored.filter(F.col("s") >= 0.35 * top).select("vec_id", F.round("s", 4).alias("score"))
+
+
+# Further predicates, roles, set operations and scalars
+@query("SELECT document_id, file_url FROM document_v WHERE published_date IS NULL AND file_url IS NOT NULL")
+def undated_with_file(t):
+    return t.document().filter("published_date IS NULL AND file_url IS NOT NULL").select("document_id", "file_url")
+
+
+@query("SELECT tag_id FROM tag_v WHERE starts_with(name, 'blue')")
+def prefix_tags(t):
+    return t.tag().filter(F.col("name").startswith("blue")).select("tag_id")
+
+
+@query("SELECT s.name AS subject, i.name AS instrument, count(*) AS n FROM entry_v LEFT JOIN tag_v s ON s.tag_id = subject_id LEFT JOIN tag_v i ON i.tag_id = instrument_id WHERE confidence > 0.95 GROUP BY 1, 2")
+def role_names(t):
+    return audit.roles(t.entry().filter("confidence > 0.95"), t.tag()).groupBy("subject", "instrument").agg(F.count("*").alias("n"))
+
+
+@query("SELECT tag_id, concept, n FROM tag_v LEFT JOIN (SELECT concept, count(*) AS n FROM tag_v WHERE concept IS NOT NULL GROUP BY 1) USING (concept)")
+def tags_with_concept(t):
+    sizes = t.tag().filter("concept IS NOT NULL").groupBy("concept").agg(F.count("*").alias("n"))
+    return t.tag().join(sizes, "concept", "left").select("tag_id", "concept", "n")
+
+
+@query("SELECT count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM (SELECT code, count(*) AS total FROM entry_v JOIN document_v USING (document_id) JOIN regulator_v USING (regulator_id) GROUP BY 1)")
+def grand_totals(t):
+    return overview.entries_by_regulator(t.entry(), t.document()).agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
+@query("SELECT name, (row_number() OVER (ORDER BY first, name) - 1) % 12 AS tone FROM (SELECT name, min(tag_id) AS first FROM tag_v WHERE facet = 'SUBJECT' GROUP BY 1)")
+def tag_tones(t):
+    return audit.tone_cycle(t.tag().filter("facet = 'SUBJECT'"), "name", "tag_id").withColumn("tone", F.col("tone").cast("long"))
+
+
+@query("SELECT document_id FROM (SELECT document_id FROM entry_v WHERE needs_review UNION SELECT document_id FROM document_v WHERE published_date IS NULL)")
+def known_ids_union(t):
+    return t.entry().filter("needs_review").select("document_id").union(t.document().filter("published_date IS NULL").select("document_id")).distinct()
+
+
+@query("SELECT regulator_id FROM regulator_v EXCEPT SELECT regulator_id FROM document_v WHERE published_date > DATE '2001-07-20'")
+def uncovered_regulators(t):
+    return t.regulator().select("regulator_id").subtract(t.document().filter("published_date > '2001-07-20'").select("regulator_id"))
+
+
+@query("SELECT 'a' AS feed, document_id AS id, category_hint AS hint FROM document_v WHERE document_id % 2 = 0 UNION ALL SELECT 'b', doc_id, NULL FROM normalized_v")
+def feeds_united(t):
+    a = t.document().filter("document_id % 2 = 0").select(F.lit("a").alias("feed"), F.col("document_id").alias("id"), F.col("category_hint").alias("hint"))
+    return a.unionByName(t.normalized().select(F.lit("b").alias("feed"), F.col("doc_id").alias("id")), allowMissingColumns=True)
+
+
+_DOOMED = "SELECT document_id FROM document_v WHERE regulator_id = 3"
+
+
+@query(f"SELECT 'documents' AS what, count(*) AS n FROM document_v WHERE regulator_id <> 3 UNION ALL SELECT 'entries', count(*) FROM entry_v WHERE document_id NOT IN ({_DOOMED})")
+def cascade_delete(t):
+    entry = t.entry()
+    links = entry.select(F.col("entry_id").alias("from_id"), F.col("entry_id").alias("to_id"))
+    d, e, _ = maintain.cascade_delete(t.document(), entry, links, t.document().filter("regulator_id = 3").select("document_id"))
+    return audit.table_sizes(documents=d, entries=e).withColumnRenamed("table_name", "what")
+
+
+@query("""WITH m AS (SELECT concept, regulator_id, facet, name || CASE WHEN regulator_id = 4 THEN '?' ELSE '' END AS name FROM tag_v WHERE concept IS NOT NULL), k AS (SELECT regulator_id, facet, name, count(DISTINCT concept) AS n FROM m GROUP BY ALL)
+SELECT 'unresolved' AS why, count(*) AS n FROM m WHERE regulator_id = 4 UNION ALL SELECT 'two_concepts', count(*) FROM k WHERE n > 1""")
+def mapping_violations(t):
+    tag = t.tag()
+    mapping = tag.filter("concept IS NOT NULL").select("concept", "regulator_id", "facet", F.when(F.col("regulator_id") == 4, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"))
+    return maintain.mapping_violations(mapping, tag).groupBy("why").agg(F.count("*").alias("n")).filter("why <> 'one_regulator'")
+
+
+@query("SELECT doc_id, NOT regexp_matches(title, '(?i)(th|la)\\w* (the|le) ') AS kept, CASE WHEN regexp_matches(title, '(?i)(th|la)\\w* (the|le) ') THEN 'dropped_by_prefilter' END AS method FROM normalized_v")
+def prefilter_kept(t):
+    return audit.kept_or_dropped(t.normalized(), text.worth_reading(F.col("title"), [r"(th|la)\w* (the|le) "])).select("doc_id", "kept", "method")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'recruitment/vacancy advertisement' WHEN 1 THEN 'newsletter' WHEN 2 THEN 'monthly achievement/progress report' END AS reason FROM normalized_v""")
+def title_scope(t):
+    extra = F.element_at(F.array(*map(F.lit, ("Walk-in interview, newsletter", "E-Newsletter 5", "Monthly progress report", "Rules"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.normalized().select("doc_id", text.scope(F.concat_ws(" ", "title", extra))["reason"].alias("reason"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN p_name || ' [Case No. ' || p_brand || ']' ELSE 'Case No. ' || p_brand END AS title FROM part""")
+def case_titles(t):
+    k = F.col("p_size") % 3
+    return t.raw("part").select("p_partkey", text.title_with_case(F.when(k != 2, F.col("p_name")), F.when(k != 0, F.col("p_brand"))).alias("title"))
+
+
+@query("SELECT p_partkey, p_name || ' ' || (1990 + p_size) AS title FROM part")
+def filename_titles(t):
+    url = F.concat(F.lit("https://h/up/"), F.col("p_size"), F.lit(".-"), F.translate("p_name", " ", "_"), F.lit("-"), F.col("p_size") + 1990, F.lit("-"), F.col("p_partkey") % 9 + 1, F.lit(".pdf"))
+    return t.raw("part").select("p_partkey", text.title_from_filename(url).alias("title"))
+
+
+@query("SELECT c_custkey, 'Name: ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE chr(10) || 'Segment: ' || c_mktsegment END || chr(10) || 'end' AS block, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || ' | ' || c_mktsegment END AS hint FROM customer")
+def labelled_blocks(t):
+    seg = F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))
+    return t.raw("customer").select("c_custkey", text.labelled_block(("Name", F.col("c_name")), ("Segment", seg), note="end").alias("block"), text.category_hint(F.col("c_name"), seg).alias("hint"))
+
+
+@query("SELECT doc_id, (len(text) - len(replace(text, 'the', ''))) // 3 AS n, CASE WHEN len(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS cut, len(list_filter(string_split(text, chr(10)), lambda x: len(trim(x, ' ')) > 80)) AS blocks FROM documents")
+def text_measures(t):
+    body = F.regexp_replace("text", "\n", "\n\n")
+    return t.raw("documents").select("doc_id", text.occurrences(F.col("text"), "the").cast("long").alias("n"), text.truncated(F.col("text"), 500, "...").alias("cut"), F.size(text.chunks(body)).cast("long").alias("blocks"))
+
+
+@query("SELECT doc_id, (len(t) - len(replace(t, 'the', ''))) // 3 + (len(t) - len(replace(t, 'tion', ''))) // 4 AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+def keyword_scores(t):
+    return t.raw("documents").select("doc_id", text.keyword_score(F.col("text"), ["the", "tion"]).cast("long").alias("score"))
+
+
+@query("SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'pdf' END AS extension, CASE document_id % 4 WHEN 0 THEN 'https://www.isro.gov.in/files/' || document_id || '.pdf' ELSE file_url END AS canonical, CASE document_id % 4 WHEN 0 THEN document_id || '.pdf' WHEN 3 THEN NULL ELSE CAST(document_id AS VARCHAR) END AS filename FROM document_v")
+def url_parts(t):
+    u = F.col("file_url")
+    return t.document().select("document_id", urls.extension(u).alias("extension"), urls.canonical(u).alias("canonical"), F.when(u.isNotNull(), urls.filename(u)).alias("filename"))
+
+
+@query("SELECT p_partkey, p_size AS page, 'https://h/' || p_type || '/cpppdata?url=' || rtrim(to_base64(encode('https://h/' || p_type || '/cpppdata?page=' || p_size)), '=') AS url FROM (SELECT p_partkey, p_size, lower(replace(p_type, ' ', '-')) AS p_type FROM part)")
+def page_addresses(t):
+    url = urls.page_url("https://h", F.lower(F.translate("p_type", " ", "-")), F.col("p_size"))
+    return t.raw("part").select("p_partkey", urls.page_of(url).alias("page"), url.alias("url"))
+
+
+@query("SELECT document_id, published_date AS a, published_date AS b, published_date AS c, strftime(published_date, '%Y-%m-01') AS d, published_date AS e FROM document_v WHERE published_date IS NOT NULL AND day(published_date) > 12")
+def date_readers(t):
+    d = F.col("published_date")
+    rows = t.document().filter(d.isNotNull() & (F.dayofmonth(d) > 12))
+    a = dates.compact_or_epoch(F.date_format(d, "yyyyMMdd"))
+    b = dates.compact_or_epoch(F.unix_timestamp(d.cast("timestamp") + F.expr("INTERVAL 5 HOURS")).cast("string"))
+    c = dates.month_first(F.date_format(d, "M/d/yyyy"))
+    month = dates.with_partial(F.date_format(d, "MMMM-yyyy"))
+    e = dates.in_title(F.concat(F.lit("List as on "), F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMMM, yyyy")))
+    old = F.unix_timestamp(d.cast("timestamp")) >= 100_000_000
+    return rows.filter(old).select("document_id", a.cast("string").alias("a"), b.cast("string").alias("b"), c.alias("c"), month.alias("d"), e.cast("string").alias("e"))
+
+
+ORACLE_SQL["date_readers"] = ORACLE_SQL["date_readers"].replace("published_date AS a, published_date AS b, published_date AS c", "CAST(published_date AS VARCHAR) AS a, CAST(published_date AS VARCHAR) AS b, CAST(published_date AS VARCHAR) AS c").replace("published_date AS e FROM", "CAST(published_date AS VARCHAR) AS e FROM")
+
+
+@query("SELECT document_id, strftime(published_date, '%Y-%m-%d') AS start, strftime(published_date + 3, '%Y-%m-%d') AS finish, '15:00' AS at FROM document_v WHERE published_date IS NOT NULL")
+def tender_ranges(t):
+    d = F.col("published_date")
+    shown = F.concat(F.lit("Monday, "), F.date_format(d, "MMM d, yyyy"), F.lit(" - to Friday, "), F.date_format(F.date_add(d, 3), "MMM d, yyyy"), F.lit(" - 15:00"))
+    r = dates.tender_range(shown)
+    return t.document().filter(d.isNotNull()).select("document_id", r["start"].cast("string").alias("start"), r["end"].cast("string").alias("finish"), r["time"].alias("at"))
+
+
+@query("SELECT event_id, CASE k % 3 WHEN 0 THEN 'f' || event_id WHEN 1 THEN 'b' WHEN 2 THEN NULL END AS url, CASE k % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'flipbook' ELSE 'none' END AS kind FROM event_v")
+def link_priority(t):
+    k = F.col("k") % 3
+    link = urls.first_link(F.when(k == 0, F.concat(F.lit("f"), "event_id")), F.when(k <= 1, "b"), F.lit(""))
+    return t.events().select("event_id", link["url"].alias("url"), link["kind"].alias("kind"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS label FROM customer")
+def own_labels(t):
+    return t.raw("customer").select("c_custkey", text.own_label(F.when(F.col("c_custkey") % 2 == 0, F.lit(" Click Here ")).otherwise(F.col("c_mktsegment")), F.col("c_name")).alias("label"))
+
+
+@query("SELECT document_id, CASE WHEN published_date <= DATE '1998-01-01' THEN CAST(published_date AS VARCHAR) END AS heard FROM document_v")
+def hearing_dates(t):
+    return t.document().select("document_id", dates.not_after(F.col("published_date"), F.lit(ASOF).cast("date")).cast("string").alias("heard"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id <= (SELECT min(page_id) FROM pages WHERE url LIKE '%page=2%')")
+def pages_until_marker(t):
+    from .sources import files
+
+    rows = t.raw("pages").select(F.lit("s").alias("site"), "page_id", "url")
+    return files.until_short(rows, "site", "page_id", F.when(F.col("url").contains("page=2"), 0).otherwise(1), 1).select("page_id", "url")
+
+
+@query("SELECT event_id, CASE WHEN value > 100 THEN 'blocked' ELSE 'fine' END AS state FROM event_v")
+def blocked_pages(t):
+    html_text = F.when(F.col("value") > 100, F.lit("Access Denied " * 30)).otherwise(F.lit("plain words on a page " * 20))
+    return t.events().select("event_id", F.when(text.is_blocked(F.lit(200), html_text), "blocked").otherwise("fine").alias("state"))

@@ -119,3 +119,40 @@ def test_fingerprints(spark):
 def test_windowed_counts(spark, small, tmp_path):
     events = Tables(spark, small).events()
     assert changes.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_paged_source(spark):
+    from paperloom.sources import paged
+
+    paged.register(spark)
+    df = spark.read.format("paged").options(fetch="paperloom.sources.paged:demo", pages="7", per_task="3").load()
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted((r.page, r.body) for r in df.collect()) == [(p, f"row {p}.{i}") for p in range(1, 8) for i in range(2)]
+
+
+def test_retry():
+    from paperloom.sources.retry import with_retry
+
+    waits, tries = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise ConnectionError("reset")
+        return "done"
+
+    assert with_retry(flaky, sleep=waits.append) == "done" and waits == [0.25, 1.0]
+    with pytest.raises(ValueError):
+        with_retry(lambda: (_ for _ in ()).throw(ValueError("bad input")), sleep=waits.append)
+    with pytest.raises(TimeoutError):
+        with_retry(lambda: (_ for _ in ()).throw(TimeoutError()), delays=(1,), sleep=waits.append)
+
+
+def test_near_top(spark):
+    from paperloom.functions import text
+
+    df = spark.createDataFrame([(["a" * 50, "b" * 60, "c" * 30, "d" * 5], [1.0, 0.9, 0.5, 0.1])], "p array<string>, s array<double>")
+    kept = lambda cap: [x[0] for x in df.select(text.near_top(F.col("p"), F.col("s"), cap).alias("k")).first().k]
+    assert kept(1000) == ["a", "b", "c"] and kept(90) == ["a", "c"] and kept(10) == ["a", "b", "c", "d"]
+    df2 = df.select(text.own_label(F.lit("PDF"), F.lit(" The order ")).alias("x"))
+    assert df2.first().x == "The order"
