@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, steps, texts_of
+from .common import scratch, steps, texts_of, tidied
 
 # The header fields of the two ARC versions.
 ARC_FIELDS = {
@@ -91,7 +91,7 @@ def convert(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
             payloads = pa.array(cols[3], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string()) for c in cols[:3]), payloads, pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.string())], names=schema.names)
 
-    return df.select(id_col, url_col, payload_col).mapInArrow(run, schema)
+    return df.select(id_col, url_col, payload_col).mapInArrow(tidied(run), schema)
 
 
 def typed(records: DataFrame, min_revisit: int = 100) -> DataFrame:
@@ -174,7 +174,7 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFr
             yield out()
 
     raw = spark.read.option("lineSep", END + START).text(path)
-    back = raw.mapInArrow(run, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    back = raw.mapInArrow(tidied(run), "id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return back.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 

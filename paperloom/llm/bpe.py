@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import per_text
+from .common import per_text, small_batches, tidied
 
 # The byte-level pre-tokenizer's pattern for code points up to U+024F without the rarer white space.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -39,7 +39,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Codec:
-    def __init__(self, path: str, leaf: int = 256, cache: int = 400_000):
+    def __init__(self, path: str, leaf: int = 256, cache: int = 250_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -143,7 +143,8 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [codec.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.select(id_col, ids_col).mapInArrow(tidied(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 256) -> DataFrame:

@@ -5,6 +5,8 @@ A word is a run of bytes other than space and 0x09-0x0D, which is what ``bytes.s
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,10 +19,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one step of a Python function holds at once; a single longer text forms a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's default of 64 MB.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch size, on which memory depends but no result, unless the caller has set it."""
+    key, default, size = BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, size)
+
+
+def tidied(run: Callable) -> Callable:
+    """An Arrow function that gives the memory it freed back to the system at its end: workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +88,8 @@ def per_text(df: DataFrame, id_col: str, text_col: str, out: T.StructType, make:
             cols = f(texts_of(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), *(c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], names=names)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), schema)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -95,6 +125,7 @@ def crc_mod(id_col: str, m: int):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir); /tmp/checkpoints where it is unset."""
+    small_batches(spark)
     if (base := spark.conf.get("spark.checkpoint.dir", None)) is None:
         base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, mix, per_text, tasks, texts_of, windows, written
+from .common import hash_words, mix, per_text, tasks, texts_of, tidied, windows, written
 from .graph import components
 
 #: DivideSkip's weight of a binary search against heap steps.
@@ -262,7 +262,7 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
 
     small = pairs.filter(F.col("w") <= limit).select("c", "id")
     small = small.union(small.select("c", F.col("c").alias("id")).distinct())
-    edges = laid(small, ["c"]).mapInArrow(small_block, two)
+    edges = laid(small, ["c"]).mapInArrow(tidied(small_block), two)
     large = pairs.filter(F.col("w") > limit).withColumn("parts", F.ceil(F.col("w") / limit))
     if large.isEmpty():
         return edges
@@ -282,7 +282,7 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
     parted = large.select("c", F.pmod(F.xxhash64("id"), F.col("parts")).alias("i"), "id")
     centres = large.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("c").alias("id")).distinct()
     three = T.StructType([T.StructField("c", id_type), T.StructField("id", id_type), T.StructField("joined", T.BooleanType())])
-    met = written(laid(parted.union(centres), ["c", "i"]).mapInArrow(meet, three), "met")
+    met = written(laid(parted.union(centres), ["c", "i"]).mapInArrow(tidied(meet), three), "met")
     edges = edges.union(met.filter("joined").select(F.col("id").alias("a"), F.col("c").alias("b")))
     rest = met.filter("NOT joined").join(sizes, "id")
     tiles = rest.groupBy("c").agg(F.ceil(F.sum("n") / limit).alias("tiles")).join(large.select("c", "parts").distinct(), "c")
@@ -301,7 +301,7 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
 
     probes = rest.join(tiles, "c").select("c", F.pmod(F.xxhash64("id"), F.col("tiles")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), "id", F.lit(True).alias("probe"))
     members = parted.join(tiles.select("c", "tiles"), "c").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("j"), "i", "id", F.lit(False).alias("probe"))
-    return edges.union(laid(probes.union(members), ["c", "j", "i"]).mapInArrow(tile, two))
+    return edges.union(laid(probes.union(members), ["c", "j", "i"]).mapInArrow(tidied(tile), two))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, limit: int = LIMIT) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_text, steps, texts_of
+from .common import per_text, small_batches, steps, texts_of, tidied
 
 SLOTS = 1 << 18
 #: Labelled rows that training reads at most (in expectation of the hash pick).
@@ -96,7 +96,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
             i = np.flatnonzero(at)
             yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(i)), pa.array(i, pa.int64()), pa.array(at[i])], names=["lang", "slot", "n"])
 
-    rows = pick(df, text_col, lang_col, sample).mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    small_batches(df.sparkSession)
+    rows = pick(df, text_col, lang_col, sample).mapInArrow(tidied(run), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(rows["lang"].unique())
     counts = np.zeros((len(names), SLOTS + N_SCRIPTS))
     counts[[names.index(x) for x in rows["lang"]], rows["slot"].to_numpy(int)] = rows["n"]
@@ -162,6 +163,7 @@ class Labeller:
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """id, lang_pred, score."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -179,6 +181,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep(df: DataFrame, model: Model, least: float = 0.4, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """The rows, all columns unchanged, whose language is known and scores ``least`` at least."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
@@ -188,11 +191,12 @@ def keep(df: DataFrame, model: Model, least: float = 0.4, text_col: str = "text"
             good = [a != "und" and b >= least for a, b in (label.predict(t.decode("utf-8", "replace")) for t in texts_of(part.column(at)))]
             yield part.filter(pa.array(good, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def label_spans(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """id, spans: array of (lang, words) in text order."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.LongType())])
 

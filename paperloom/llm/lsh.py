@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, tasks, written
+from .common import mix, tasks, tidied, written
 
 SAMPLE = 2000
 OCCUPANCY = 64
@@ -161,7 +161,7 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
             yield out()
 
     schema = T.StructType([T.StructField("x", T.BinaryType()), rows.schema["id"]])
-    small = rows.mapInArrow(local, schema).distinct()
+    small = rows.mapInArrow(tidied(local), schema).distinct()
     small = small.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("id"))).filter(F.col("r") <= keep)
     return small.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
@@ -195,7 +195,7 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(np.array(x) + 0.0).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["q", "x"])
 
-    asked = asked.mapInArrow(packed, schema_q).join(held.select("x", "c"), "x").select("q", "c")
+    asked = asked.mapInArrow(tidied(packed), schema_q).join(held.select("x", "c"), "x").select("q", "c")
     asked = written(asked, "queries")
 
     def cells(batches):
@@ -215,8 +215,8 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
 
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", id_field.dataType), T.StructField("x", T.BinaryType())])
     points = held.select("c", "x")
-    stored = points.mapInArrow(cells, schema)
-    visiting = points.join(asked.select("c").distinct(), "c").mapInArrow(probes, schema).distinct()
+    stored = points.mapInArrow(tidied(cells), schema)
+    visiting = points.join(asked.select("c").distinct(), "c").mapInArrow(tidied(probes), schema).distinct()
     full = stored.groupBy("key").count().filter(F.col("count") > LIMIT).select("key", F.ceil(F.col("count") / LIMIT).alias("parts"))
     full = written(full, "full-cells")
     if not full.isEmpty():  # a LIMIT-th of the stored vectors at most
@@ -269,7 +269,7 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
             yield out()
 
     near_schema = T.StructType([T.StructField("q", id_field.dataType), T.StructField("c", id_field.dataType), T.StructField("d", T.DoubleType())])
-    near = both.mapInArrow(rank, near_schema).distinct()
+    near = both.mapInArrow(tidied(rank), near_schema).distinct()
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("r") <= keep)
     near = near.join(held.select("c", "ids"), "c").select(F.col("q").alias("c"), "d", F.explode("ids").alias("id"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("d", "id"))).filter(F.col("r") <= keep)

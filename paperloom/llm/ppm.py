@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, mix, steps, tasks, texts_of
+from .common import hash_words, mix, small_batches, steps, tasks, texts_of, tidied
 
 PAD, END = b"\xff", b"\xfe"
 SYMBOLS = 255
@@ -295,16 +295,17 @@ def score(df: DataFrame, train: Column, held_out: Column, id_col: str = "doc_id"
     if not 3 <= order <= 6:
         raise ValueError("order is 3 to 6")
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.spark_partition_id().alias("chunk"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    low = docs.filter("train").select("text").mapInArrow(triples, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    low = docs.filter("train").select("text").mapInArrow(tidied(triples), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     low = spark.sparkContext.broadcast((low["code"].to_numpy(np.uint64), low["n"].to_numpy(np.int64)))
     parts = tasks(spark)
-    sent = docs.select("chunk", "train", "text").mapInArrow(gather(order, parts), "part int, chunk int, keys binary, counts binary, n long")
-    told = sent.repartition(parts, "part").mapInArrow(answer(order, least, low), "chunk int, keys binary, values binary, weight binary, n long, v long")
+    sent = docs.select("chunk", "train", "text").mapInArrow(tidied(gather(order, parts)), "part int, chunk int, keys binary, counts binary, n long")
+    told = sent.repartitionById(parts, "part").mapInArrow(tidied(answer(order, least, low)), "chunk int, keys binary, values binary, weight binary, n long, v long")
     id_type = df.schema[id_col].dataType
     nothing = lambda t: F.lit(None).cast(t)
     told = told.select("chunk", F.lit(0).alias("kind"), nothing(id_type).alias("id"), nothing("boolean").alias("held_out"), nothing("string").alias("text"), "keys", "values", "weight", "n", "v")
     texts = docs.select("chunk", F.lit(1).alias("kind"), "id", "held_out", "text", *(nothing("binary").alias(c) for c in ("keys", "values", "weight")), *(nothing("long").alias(c) for c in ("n", "v")))
-    both = told.union(texts).repartition(tasks(spark), "chunk").sortWithinPartitions("chunk", "kind")
+    both = told.union(texts).repartitionById(tasks(spark), F.pmod("chunk", F.lit(tasks(spark)))).sortWithinPartitions("chunk", "kind")
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return both.mapInArrow(apply(order, both.columns), schema).withColumnRenamed("id", id_col)
+    return both.mapInArrow(tidied(apply(order, both.columns)), schema).withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, per_text, steps, tasks, texts_of, windows, written
+from .common import hash_words, per_text, steps, tasks, texts_of, tidied, windows, written
 
 #: Hashes that a task compares at once (40 bytes each).
 HELD = 1_500_000
@@ -262,9 +262,9 @@ def repeated_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, before = docs, None
     for length in lengths(window):
         level = Level(length, before, window, to_arrow_type(id_type), parts)
-        sent = rows.mapInArrow(level.__call__, _schema(id_type)).repartition(parts, "part")
-        settled = sent.mapInArrow(level.compare, _schema(id_type)).repartition(parts, "part")
-        marks = written(settled.mapInArrow(level.merged, runs), f"marks-{length}")
+        sent = rows.mapInArrow(tidied(level.__call__), _schema(id_type)).repartitionById(parts, "part")
+        settled = sent.mapInArrow(tidied(level.compare), _schema(id_type)).repartitionById(parts, "part")
+        marks = written(settled.mapInArrow(tidied(level.merged), runs), f"marks-{length}")
         if length < window:
             rows, before = _texts(docs, marks), length
     return marks
@@ -315,7 +315,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "n_removed", "kept"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    less = _texts(docs, repeated_starts(docs, "id", "text", window)).mapInArrow(kept, schema)
+    less = _texts(docs, repeated_starts(docs, "id", "text", window)).mapInArrow(tidied(kept), schema)
     less = less.groupBy("id").agg(F.max("n_removed").alias("n_removed"), F.max("kept").alias("kept"))
     out = every.join(less, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
@@ -342,7 +342,7 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             cols = [part.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return same.select(*names).unionByName(touched.mapInArrow(run, df.schema))
+    return same.select(*names).unionByName(touched.mapInArrow(tidied(run), df.schema))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -380,6 +380,6 @@ def holders(docs: DataFrame, starts: DataFrame, window: int) -> DataFrame:
             ids = part.column(0).take(pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(got).view(np.int64), pa.int64())], names=["id", "hash"])
 
-    wanted = _texts(docs, starts).mapInArrow(listed, "hash long").distinct()
+    wanted = _texts(docs, starts).mapInArrow(tidied(listed), "hash long").distinct()
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("hash", T.LongType())])
-    return docs.filter("id IS NOT NULL").select("id", "text").mapInArrow(all_windows, schema).join(wanted, "hash").select("id").distinct()
+    return docs.filter("id IS NOT NULL").select("id", "text").mapInArrow(tidied(all_windows), schema).join(wanted, "hash").select("id").distinct()
