@@ -39,8 +39,8 @@ from .graph import components
 
 #: DivideSkip's weight of a binary search against heap steps.
 MU = 0.0085
-#: Shingles of a block that one task holds at most (64 MB or so with its lists).
-LIMIT = 1_500_000
+#: Shingles of a block that one task holds at most (20 MB or so with its lists).
+LIMIT = 400_000
 #: Ids up to which the wanted ones are broadcast (16 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -232,8 +232,10 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").join(classes.select("id", "n_shingles"), "id"), "texts")
     sizes = texts.groupBy("id").agg(F.max("n_shingles").alias("n"))
-    weight = pairs.join(sizes, "id").groupBy("c").agg(F.sum("n").alias("w"))
-    pairs = written(pairs.join(weight, "c"), "weighed")
+    # blocks above the limit are few: their weights sum to that of all pairs
+    heavy = written(pairs.join(sizes, "id").groupBy("c").agg(F.ceil(F.sum("n") / limit).alias("parts")).filter("parts > 1"), "heavy")
+    n_heavy = heavy.count()
+    heavy = F.broadcast(heavy) if n_heavy <= BROADCAST_IDS else heavy
     id_type = df.schema[id_col].dataType
     two = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
     arrow = pa.int64() if isinstance(id_type, T.LongType) else None
@@ -260,12 +262,12 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
         rows = rows.join(texts.select("id", "text"), "id").select(*keys, "id", *[c for c in rows.columns if c not in (*keys, "id")], "text")
         return rows.repartition(tasks(spark), *keys).sortWithinPartitions(*keys)
 
-    small = pairs.filter(F.col("w") <= limit).select("c", "id")
+    small = pairs.join(heavy.select("c"), "c", "left_anti") if n_heavy else pairs
     small = small.union(small.select("c", F.col("c").alias("id")).distinct())
     edges = laid(small, ["c"]).mapInArrow(tidied(small_block), two)
-    large = pairs.filter(F.col("w") > limit).withColumn("parts", F.ceil(F.col("w") / limit))
-    if large.isEmpty():
+    if not n_heavy:
         return edges
+    large = pairs.join(heavy, "c")
 
     def meet(batches):
         """Members of a part against the centre, which every part holds."""
