@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ SPACE = "\x09-\x0d\x20"
 PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Text with other characters goes through the library's own splitter.
 RARE = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
+#: Pieces that stay pieces between newlines: no white space but one space in front.
+APART = re.compile(f" ?[^{SPACE}\x1c-\x1f\x85\xa0ɐ-\U0010ffff]+")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,7 +42,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Codec:
-    def __init__(self, path: str, leaf: int = 256, cache: int = 250_000):
+    def __init__(self, path: str, leaf: int = 256, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -47,6 +50,8 @@ class Codec:
         spec = json.load(open(path, encoding="utf-8"))
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        newline = self.library(["\n"])[0]
+        self.newline = newline[0] if len(newline) == 1 else None
         byte = byte_alphabet()
         self.bytes = [b""] * self.t.get_vocab_size(with_added_tokens=True)
         for token, i in self.t.get_vocab(with_added_tokens=True).items():
@@ -55,6 +60,19 @@ class Codec:
     def library(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch(pieces, add_special_tokens=False)]
 
+    def apart(self, pieces: list[str], at_once: int = 5000) -> list[bytes]:
+        """ids of APART pieces, encoded as one text with newlines between them: a call for each piece costs far more."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), at_once):
+            some = pieces[i : i + at_once]
+            ids = np.array(self.t.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.newline)
+            if len(cuts) != len(some) - 1:
+                raise ValueError("a piece holds a newline")
+            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends)]
+        return out
+
     def pieces(self, text: str) -> list[str]:
         if not RARE.search(text):
             return PLAIN.findall(text)
@@ -88,24 +106,28 @@ class Codec:
         """ids of each text as little-endian unsigned 32-bit integers."""
         split: list[list] = []
         missing: set[str] = set()
-        if len(self.cache) > self.most:
-            self.cache.clear()
         known = self.cache
         for raw in texts:
             text = raw.decode("utf-8", "replace")
             parts = self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]
             pieces = [x for i, part in enumerate(parts) for x in ([part] if i % 2 else self.pieces(part))]
-            missing.update(x for x in pieces if x not in known)
+            missing.update(filterfalse(known.__contains__, pieces))
             split.append(pieces)
         put = lambda ids: np.array(ids, "<u4").tobytes()
         for s in missing & self.special.keys():
             known[s] = put([self.special[s]])
             missing.discard(s)
         short = [x for x in missing if len(x) <= self.leaf]
-        known.update(zip(short, map(put, self.library(short))) if short else ())
+        alone = [x for x in short if self.newline is None or not APART.fullmatch(x)]
+        apart = list(set(short).difference(alone))
+        known.update(zip(apart, self.apart(apart)))
+        known.update(zip(alone, map(put, self.library(alone))) if alone else ())
         long = {x: put(self.tree(x)) for x in missing if len(x) > self.leaf}  # not kept: they rarely return
         get = (known | long).__getitem__ if long else known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        out = [b"".join(map(get, pieces)) for pieces in split]
+        if len(known) > self.most:  # what this call used stays, frequent pieces with it
+            self.cache = {x: known[x] for x in set().union(*split) if x in known}
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
