@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of documents that links at a similarity of 0.8 join (five-word shingles)."""
-    found = written(jaccard.join(docs, words=5, num=80, den=100), "groups")
+    found = written(jaccard.join(docs, words=5, num=80, den=100), "groups", 8)
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")

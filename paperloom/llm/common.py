@@ -131,11 +131,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read back, so that lost executors need no earlier stage."""
+def written(df: DataFrame, name: str, fold: int = 1) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read back, so that lost executors need no earlier stage.
+
+    ``fold`` partitions share a file: results far smaller than what they were made from need fewer files.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, tasks(spark) // fold)) if fold > 1 else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

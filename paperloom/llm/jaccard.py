@@ -218,7 +218,7 @@ def candidate_blocks(classes: DataFrame, edge: int) -> DataFrame:
     rows = rows.join(df, "tok").withColumn("out", F.col("tok") >= F.lit(edge))
     own = Window.partitionBy("id", "p", "rc")
     rows = rows.withColumn("r", F.sum((~F.col("out")).cast("long")).over(own)).withColumn("rank", F.row_number().over(own.orderBy("out", "df", "tok")))
-    rows = written(rows.filter("out OR rank <= p - rc + r").select("tok", "id"), "prefixes")
+    rows = written(rows.filter("out OR rank <= p - rc + r").select("tok", "id"), "prefixes", 4)
     least = rows.groupBy("tok").agg(F.min("id").alias("c"), F.max("id").alias("m")).filter("c != m").drop("m")
     return rows.join(least, "tok").filter("c != id").select("c", "id").distinct()
 
@@ -226,16 +226,18 @@ def candidate_blocks(classes: DataFrame, edge: int) -> DataFrame:
 def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: str, words: int, num: int, den: int, limit: int = LIMIT) -> DataFrame:
     """Edges (a, b) between class ids whose components are those of all links."""
     spark = df.sparkSession
-    pairs = written(candidate_blocks(classes.select("id", "p", "rc", "toks"), edge), "blocks")
-    wanted = written(pairs.select("id").union(pairs.select("c")).distinct(), "wanted")
+    pairs = written(candidate_blocks(classes.select("id", "p", "rc", "toks"), edge), "blocks", 8)
+    wanted = pairs.select("id").union(pairs.select("c")).distinct()
     few = wanted.count() <= BROADCAST_IDS
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = written(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").join(classes.select("id", "n_shingles"), "id"), "texts")
     sizes = texts.groupBy("id").agg(F.max("n_shingles").alias("n"))
     # blocks above the limit are few: their weights sum to that of all pairs
-    heavy = written(pairs.join(sizes, "id").groupBy("c").agg(F.ceil(F.sum("n") / limit).alias("parts")).filter("parts > 1"), "heavy")
+    heavy = pairs.join(sizes, "id").groupBy("c").agg(F.ceil(F.sum("n") / limit).alias("parts")).filter("parts > 1")
     n_heavy = heavy.count()
-    heavy = F.broadcast(heavy) if n_heavy <= BROADCAST_IDS else heavy
+    if n_heavy:
+        heavy = written(heavy, "heavy", 8)
+        heavy = F.broadcast(heavy) if n_heavy <= BROADCAST_IDS else heavy
     id_type = df.schema[id_col].dataType
     two = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
     arrow = pa.int64() if isinstance(id_type, T.LongType) else None
@@ -284,7 +286,7 @@ def links(df: DataFrame, classes: DataFrame, edge: int, id_col: str, text_col: s
     parted = large.select("c", F.pmod(F.xxhash64("id"), F.col("parts")).alias("i"), "id")
     centres = large.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.col("c").alias("id")).distinct()
     three = T.StructType([T.StructField("c", id_type), T.StructField("id", id_type), T.StructField("joined", T.BooleanType())])
-    met = written(laid(parted.union(centres), ["c", "i"]).mapInArrow(tidied(meet), three), "met")
+    met = written(laid(parted.union(centres), ["c", "i"]).mapInArrow(tidied(meet), three), "met", 8)
     edges = edges.union(met.filter("joined").select(F.col("id").alias("a"), F.col("c").alias("b")))
     rest = met.filter("NOT joined").join(sizes, "id")
     tiles = rest.groupBy("c").agg(F.ceil(F.sum("n") / limit).alias("tiles")).join(large.select("c", "parts").distinct(), "c")
@@ -312,7 +314,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     docs = written(docs, "sets")
     full = docs.filter("id IS NOT NULL AND n_shingles > 0")
     classes = full.groupBy("h1", "h2").agg(F.min(F.struct("id", "n_shingles", "p", "rc", "toks")).alias("x")).select("h1", "h2", "x.*")
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", 2)
     found = components(links(df, classes, edge, id_col, text_col, words, num, den, limit))
     roots = classes.select("h1", "h2", "id").join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = docs.select("id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"], "left")

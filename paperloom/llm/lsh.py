@@ -196,7 +196,7 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(np.array(x) + 0.0).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["q", "x"])
 
     asked = asked.mapInArrow(tidied(packed), schema_q).join(held.select("x", "c"), "x").select("q", "c")
-    asked = written(asked, "queries")
+    asked = written(asked, "queries", 4)
 
     def cells(batches):
         for b in batches:
@@ -218,7 +218,7 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
     stored = points.mapInArrow(tidied(cells), schema)
     visiting = points.join(asked.select("c").distinct(), "c").mapInArrow(tidied(probes), schema).distinct()
     full = stored.groupBy("key").count().filter(F.col("count") > LIMIT).select("key", F.ceil(F.col("count") / LIMIT).alias("parts"))
-    full = written(full, "full-cells")
+    full = written(full, "full-cells", 8)
     if not full.isEmpty():  # a LIMIT-th of the stored vectors at most
         stored = stored.join(full, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(0)).cast("int"))
         visiting = visiting.join(full, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), (F.coalesce("parts", F.lit(1)) - 1).cast("int"))))

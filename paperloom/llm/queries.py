@@ -48,7 +48,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 3) == 1
     model = langid.train(docs.filter(~held))
-    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,7 +264,7 @@ def repeated_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         level = Level(length, before, window, to_arrow_type(id_type), parts)
         sent = rows.mapInArrow(tidied(level.__call__), _schema(id_type)).repartitionById(parts, "part")
         settled = sent.mapInArrow(tidied(level.compare), _schema(id_type)).repartitionById(parts, "part")
-        marks = written(settled.mapInArrow(tidied(level.merged), runs), f"marks-{length}")
+        marks = written(settled.mapInArrow(tidied(level.merged), runs), f"marks-{length}", 4)
         if length < window:
             rows, before = _texts(docs, marks), length
     return marks
