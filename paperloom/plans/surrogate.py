@@ -16,6 +16,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_events(raw: DataFrame) -> DataFrame:
+    """Versions of documents from event rows, batch or stream."""
+    return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), (F.col("value") > 20).alias("kept"), F.col("value"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
 class Tables:
     """Views of the model over a fixture folder."""
 
@@ -71,7 +76,7 @@ class Tables:
         return one_per_key(e, ["document_id"], ["ts", "event_id"], last=True)
 
     def events(self) -> DataFrame:
-        return self.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), (F.col("value") > 20).alias("kept"), F.col("value"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+        return as_events(self.raw("events"))
 
     def normalized(self) -> DataFrame:
         d = self.raw("documents").select("doc_id", F.col("source").alias("feed"), F.substring("text", 1, 60).alias("title"), "lang", "n_chars")

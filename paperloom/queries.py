@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text, urls
 from .operators import audit, browse, dedup, ingest, maintain, overview, quality, sample
-from .plans.surrogate import ASOF, Tables, sql
+from .plans.surrogate import ASOF, Tables, as_events, sql
+from .session import scratch
 from .sources import html
 from .streaming import changes
 
@@ -707,6 +708,16 @@ def change_log(t):
     return changes.change_log(t.events()).drop("ts")
 
 
+@query(_LOG + " SELECT document_id, event_id, field_changed, old_value, new_value FROM l")
+def change_log_stream(t):
+    """The change log once more, as a stream with state for each document, run over what is there."""
+    files = f"{t.dir}/events*.parquet"
+    raw = t.spark.readStream.schema(t.raw("events").schema).parquet(files)
+    target = scratch(t.spark, "change-log")
+    changes.replay(changes.stream_change_log(as_events(raw)), f"{target}/rows", f"{target}/checkpoint")
+    return t.spark.read.schema(changes.CHANGE).parquet(f"{target}/rows")
+
+
 @query(_LOG + " SELECT s.document_id, s.status, max(l.ts) AS changed_at FROM l JOIN store_v s USING (document_id) WHERE field_changed = 'status' AND l.ts >= TIMESTAMP '2024-01-25' GROUP BY 1, 2")
 def status_changes_since(t):
     return changes.status_changes_since(changes.change_log(t.events()), t.store(), "2024-01-25").withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz"))

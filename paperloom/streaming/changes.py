@@ -85,6 +85,11 @@ def stream_change_log(stream: DataFrame, fields: list[str] = TRACKED) -> DataFra
     return slim.groupBy("document_id").applyInPandasWithState(update, CHANGE, state, "append", "NoTimeout")
 
 
+def replay(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Runs a stream over what is there now and appends its rows to a Parquet target, exactly once."""
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def ingest_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """Appends rows with unseen keys to a Parquet target, batch by batch; a batch that is run again adds nothing."""
 
