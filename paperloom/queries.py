@@ -520,7 +520,7 @@ def _titled_orders(t):
     k = F.col("o_orderkey")
     title = F.concat(F.lit("PMA/IN-SPACe/AUTH/2024/"), k % 500, F.when(k % 11 == 0, "A").otherwise(""), F.when(k % 13 == 0, " Amendment No. 1").otherwise(""))
     status = F.when(F.col("o_orderstatus") == "F", "In Force").when(F.col("o_orderstatus") == "P", "Amended")
-    return t.raw("orders").filter("o_orderkey % 3 <> 1").select(k.cast("string").alias("entry_id"), title.alias("title"), status.alias("status"), k.alias("position"))
+    return t.raw("orders").select(k.cast("string").alias("entry_id"), title.alias("title"), status.alias("status"), k.alias("position"))
 
 
 @query(f"""WITH r AS ({_ORDERS_AS_TITLES}), n AS (SELECT *, position % 500 AS number FROM r), b AS (SELECT number, arg_max(entry_id, position) AS base_id, max(position) AS p FROM n WHERE position % 11 <> 0 GROUP BY 1)
@@ -542,7 +542,7 @@ _RULES = "SELECT CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000
 @query(f"""WITH r AS ({_ORDERS_AS_TITLES}), x AS ({_RULES}) SELECT x.entry_id, to_status, CASE WHEN title IS NULL THEN 'not_found' WHEN NOT contains(lower(title), title_contains) THEN 'title_changed' WHEN status IS DISTINCT FROM from_status THEN 'already_changed' ELSE 'fixed' END AS outcome FROM x LEFT JOIN r USING (entry_id)""")
 def status_rule_fix(t):
     k = F.col("o_orderkey")
-    rules = t.raw("orders").filter("o_orderkey % 10 = 0").select((k + F.when(k % 50 == 0, 100000000).otherwise(0)).cast("string").alias("entry_id"), F.when(k % 4 == 0, "auth/2024").otherwise("tender").alias("title_contains"), F.lit("In Force").alias("from_status"), F.lit("Superseded").alias("to_status"))
+    rules = t.raw("orders").select((k + F.when(k % 50 == 0, 100000000).otherwise(0)).cast("string").alias("entry_id"), F.when(k % 4 == 0, "auth/2024").otherwise("tender").alias("title_contains"), F.lit("In Force").alias("from_status"), F.lit("Superseded").alias("to_status"))
     return maintain.status_rules(_titled_orders(t), rules)
 
 
