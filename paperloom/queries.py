@@ -795,7 +795,8 @@ def prefix_tags(t):
 
 @query("SELECT s.name AS subject, i.name AS instrument, count(*) AS n FROM entry_v LEFT JOIN tag_v s ON s.tag_id = subject_id LEFT JOIN tag_v i ON i.tag_id = instrument_id WHERE confidence > 0.95 GROUP BY 1, 2")
 def role_names(t):
-    return audit.roles(t.entry().filter("confidence > 0.95"), t.tag()).groupBy("subject", "instrument").agg(F.count("*").alias("n"))
+    pairs = t.entry().groupBy("subject_id", "instrument_id").agg(F.count("*").alias("n"))
+    return audit.roles(pairs, t.tag()).groupBy("subject", "instrument").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT tag_id, concept, n FROM tag_v LEFT JOIN (SELECT concept, count(*) AS n FROM tag_v WHERE concept IS NOT NULL GROUP BY 1) USING (concept)")

@@ -21,3 +21,8 @@ def test_amendments_and_rules_read_all_orders(spark, small, duck, name):  # noqa
     got = whole(spark, small, duck, name, " WHERE o_orderkey % 3 <> 1", " WHERE o_orderkey % 10 = 0")
     n = spark.read.parquet(f"{small}/orders.parquet").count()
     assert len(got) == (n if name != "amendment_chain" else len(range(0, n, 13)))
+
+
+def test_role_names_count_all_entries(spark, small, duck):  # noqa: F811
+    got = whole(spark, small, duck, "role_names", " WHERE confidence > 0.95")
+    assert got["n"].sum() == spark.read.parquet(f"{small}/lineitem.parquet").count()
