@@ -905,14 +905,14 @@ def page_addresses(t):
 @query("SELECT document_id, published_date AS a, published_date AS b, published_date AS c, strftime(published_date, '%Y-%m-01') AS d, published_date AS e FROM document_v WHERE published_date IS NOT NULL AND day(published_date) > 12")
 def date_readers(t):
     d = F.col("published_date")
-    rows = t.document().filter(d.isNotNull() & (F.dayofmonth(d) > 12))
+    rows = t.document().filter(d.isNotNull())
     a = dates.compact_or_epoch(F.date_format(d, "yyyyMMdd"))
-    b = dates.compact_or_epoch(F.unix_timestamp(d.cast("timestamp") + F.expr("INTERVAL 5 HOURS")).cast("string"))
+    epoch = F.unix_timestamp(d.cast("timestamp") + F.expr("INTERVAL 5 HOURS"))
+    b = dates.compact_or_epoch(F.when(epoch >= 100_000_000, epoch).cast("string"))  # under nine digits it is no epoch, and eight read as a day
     c = dates.month_first(F.date_format(d, "M/d/yyyy"))
     month = dates.with_partial(F.date_format(d, "MMMM-yyyy"))
     e = dates.in_title(F.concat(F.lit("List as on "), F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMMM, yyyy")))
-    old = F.unix_timestamp(d.cast("timestamp")) >= 100_000_000
-    return rows.filter(old).select("document_id", a.cast("string").alias("a"), b.cast("string").alias("b"), c.alias("c"), month.alias("d"), e.cast("string").alias("e"))
+    return rows.select("document_id", a.cast("string").alias("a"), b.cast("string").alias("b"), c.alias("c"), month.alias("d"), e.cast("string").alias("e"))
 
 
 ORACLE_SQL["date_readers"] = ORACLE_SQL["date_readers"].replace("published_date AS a, published_date AS b, published_date AS c", "CAST(published_date AS VARCHAR) AS a, CAST(published_date AS VARCHAR) AS b, CAST(published_date AS VARCHAR) AS c").replace("published_date AS e FROM", "CAST(published_date AS VARCHAR) AS e FROM")

@@ -26,3 +26,16 @@ def test_amendments_and_rules_read_all_orders(spark, small, duck, name):  # noqa
 def test_role_names_count_all_entries(spark, small, duck):  # noqa: F811
     got = whole(spark, small, duck, "role_names", " WHERE confidence > 0.95")
     assert got["n"].sum() == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_date_readers_read_every_dated_row(spark, small, duck):  # noqa: F811
+    got = whole(spark, small, duck, "date_readers", " AND day(published_date) > 12")
+    assert len(got) == sum(k % 97 != 0 for k in range(spark.read.parquet(f"{small}/orders.parquet").count()))
+
+
+def test_date_readers_keep_old_dates(spark, small, tmp_path):
+    days = ["1969-07-20", "1970-11-10", "1973-03-02", "1973-03-04", "1999-02-01"]
+    spark.createDataFrame([(i + 1, 1, d, "1-URGENT", "F") for i, d in enumerate(days)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(tuple(r[c] for c in ("a", "b", "c", "d", "e")) for r in queries.QUERIES["date_readers"](spark, str(tmp_path)).collect())
+    assert got == [(d, d if d > "1973-03-03" else None, d, d[:8] + "01", d) for d in days]
