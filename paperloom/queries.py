@@ -501,9 +501,9 @@ def copies_after_rekey(t):
 SELECT n.source_id, CASE WHEN ns IS NULL THEN 'new' WHEN ns > 1 OR nn > 1 THEN 'ambiguous' ELSE 'remap' END AS outcome, CASE WHEN ns = 1 AND nn = 1 THEN lo END AS stored_id
 FROM n JOIN (SELECT t, count(*) AS nn FROM n GROUP BY t) USING (t) LEFT JOIN (SELECT t, count(*) AS ns, min(source_id) AS lo FROM s GROUP BY t) USING (t) WHERE n.source_id NOT IN (SELECT source_id FROM s)""")
 def remap_one_to_one(t):
-    part = t.raw("part").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"), "p_size")
-    scraped = part.filter("p_size > 48").withColumn("source_id", F.col("source_id") + F.when(F.col("source_id") % 2 == 0, 1000000).otherwise(0))
-    return maintain.remap(scraped, part.filter("source_id % 7 <> 0"), F.lower("title"))
+    part = t.raw("part").select(F.col("p_partkey").alias("source_id"), F.col("p_name").alias("title"))
+    scraped = part.withColumn("source_id", F.col("source_id") + F.when(F.col("source_id") % 2 == 0, 1000000).otherwise(0))
+    return maintain.remap(scraped, part, F.lower("title"))
 
 
 @query("SELECT entry_id, coalesce(status, 'Default ' || category_hint) AS status FROM entry_v JOIN document_v USING (document_id)")
@@ -827,7 +827,7 @@ def uncovered_regulators(t):
 
 @query("SELECT 'a' AS feed, document_id AS id, category_hint AS hint FROM document_v WHERE document_id % 2 = 0 UNION ALL SELECT 'b', doc_id, NULL FROM normalized_v")
 def feeds_united(t):
-    a = t.document().filter("document_id % 2 = 0").select(F.lit("a").alias("feed"), F.col("document_id").alias("id"), F.col("category_hint").alias("hint"))
+    a = t.document().select(F.lit("a").alias("feed"), F.col("document_id").alias("id"), F.col("category_hint").alias("hint"))
     return a.unionByName(t.normalized().select(F.lit("b").alias("feed"), F.col("doc_id").alias("id")), allowMissingColumns=True)
 
 

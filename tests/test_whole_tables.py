@@ -39,3 +39,19 @@ def test_date_readers_keep_old_dates(spark, small, tmp_path):
     spark.createDataFrame([(1, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
     got = sorted(tuple(r[c] for c in ("a", "b", "c", "d", "e")) for r in queries.QUERIES["date_readers"](spark, str(tmp_path)).collect())
     assert got == [(d, d if d > "1973-03-03" else None, d, d[:8] + "01", d) for d in days]
+
+
+def test_remap_reads_all_parts(spark, small, duck):  # noqa: F811
+    got = whole(spark, small, duck, "remap_one_to_one", " WHERE p_partkey % 7 <> 0", " WHERE p_size > 48")
+    assert len(got) == sum(r.p_partkey % 2 == 0 for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect())
+
+
+def test_remap_outcomes_over_all_parts(spark, tmp_path):
+    parts = [(2, "Blue"), (4, "red"), (5, "Red"), (7, "grey"), (14, "green")]
+    spark.createDataFrame([(*p, 1) for p in parts], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["remap_one_to_one"](spark, str(tmp_path)).select("source_id", "outcome", "stored_id").collect())
+    assert got == [(1000002, "remap", 2), (1000004, "ambiguous", None), (1000014, "remap", 14)]
+
+
+def test_feeds_united_hold_all_documents(spark, small, duck):  # noqa: F811
+    whole(spark, small, duck, "feeds_united", (" WHERE document_id % 2 = 0 UNION ALL", " UNION ALL"))
