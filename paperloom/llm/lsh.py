@@ -8,6 +8,8 @@ Cells hold their vectors, so candidates are ranked where they lie and only the n
 estimates the distance of the tenth neighbour in the whole table from the sample (tail of the distances to the power of
 the local dimension), takes k for cells of about OCCUPANCY vectors, and simulates neighbours at that distance until
 the probes find ``goal`` of them. Every vector is indexed. Small tables need no cut (k = 0) and are searched whole.
+Queries whose probes found fewer than asked for, as those of outliers and small clusters beside a dense one, are
+compared with every class.
 
 Equal vectors form one class, which keeps its smallest ids only, as many as a result may need: a vector that a third of
 the rows share is stored once, and ties still go to the smaller ids. Cells above LIMIT vectors are split, and queries
@@ -22,6 +24,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,9 @@ SAMPLE = 2000
 OCCUPANCY = 64
 LIMIT = 20_000
 MOST_PROBES = 512
+#: Short queries that are broadcast at once, and compared in one product.
+SCANNED = 20_000
+BLOCK = 500
 
 
 class Index:
@@ -172,6 +178,42 @@ def _arrow(field: T.StructField):
     return to_arrow_type(field.dataType)
 
 
+def nearest(short: np.ndarray, asked: list, keep: int, id_type: pa.DataType) -> Callable:
+    """Arrow function over (c, x) batches: the ``keep`` nearest classes of each short query among a task's, exact.
+
+    Products bound the distances; those that may count are computed anew."""
+
+    def scan(batches):
+        bound = np.full(len(short), np.inf)
+        best: list[dict] = [{} for _ in asked]
+        squares = (short**2).sum(1)
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            if not ids:
+                continue
+            x = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(len(ids), -1)
+            sizes = (x**2).sum(1)
+            for at in range(0, len(short), BLOCK):
+                y = short[at : at + BLOCK]
+                slack = 1e-9 * (squares[at : at + BLOCK] + sizes.max())
+                d2 = squares[at : at + BLOCK, None] + sizes[None, :] - 2 * (y @ x.T)
+                if len(ids) >= keep:
+                    bound[at : at + BLOCK] = np.fmin(bound[at : at + BLOCK], np.partition(d2, keep - 1, axis=1)[:, keep - 1] + slack)
+                # not greater, so that overflow (nan) is compared too
+                for q, row in enumerate(~(d2 > (bound[at : at + BLOCK] + slack)[:, None]), at):
+                    near = best[q]
+                    may = np.flatnonzero(row)
+                    for i, d in zip(may.tolist(), np.sqrt(((x[may] - short[q]) ** 2).sum(1)).tolist()):
+                        near[ids[i]] = d
+                    if len(near) > 4 * keep:
+                        best[q] = dict(sorted(near.items(), key=lambda p: (p[1], p[0]))[:keep])
+        for at in range(0, len(best), BLOCK):
+            found = [(asked[q], c, d) for q in range(at, min(at + BLOCK, len(best))) for c, d in sorted(best[q].items(), key=lambda p: (p[1], p[0]))[:keep]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], id_type), pa.array([f[1] for f in found], id_type), pa.array([f[2] for f in found], pa.float64())], names=["q", "c", "d"])
+
+    return scan
+
+
 def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = 10, tables: int = 8, goal: float = 0.97, seed: int = 0) -> DataFrame:
     """query_id, rank (from 1), id, score (Euclidean distance): the nearest found of each query, the query left out.
 
@@ -269,12 +311,35 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
             yield out()
 
     near_schema = T.StructType([T.StructField("q", id_field.dataType), T.StructField("c", id_field.dataType), T.StructField("d", T.DoubleType())])
-    near = both.mapInArrow(tidied(rank), near_schema).distinct()
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("r") <= keep)
-    near = near.join(held.select("c", "ids"), "c").select(F.col("q").alias("c"), "d", F.explode("ids").alias("id"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("d", "id"))).filter(F.col("r") <= keep)
-    near = near.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("near"))
-    out = asked.join(near, "c").select("q", F.filter("near", lambda p: p["id"] != F.col("q")).alias("near"))
-    out = out.select("q", F.posexplode(F.slice("near", 1, neighbours)))
-    return out.select(F.col("q").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("col.id").alias(id_col), F.col("col.d").alias("score"))
 
+    def merged(near: DataFrame) -> DataFrame:
+        """q, near: the nearest ids of each query, itself left out."""
+        near = near.distinct().withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("r") <= keep)
+        near = near.join(held.select("c", "ids"), "c").select(F.col("q").alias("c"), "d", F.explode("ids").alias("id"))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("d", "id"))).filter(F.col("r") <= keep)
+        near = near.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("near"))
+        out = asked.join(near, "c", "left").select("q", "c", F.coalesce("near", F.array()).alias("near"))
+        return out.withColumn("near", F.slice(F.filter("near", lambda p: p["id"] != F.col("q")), 1, neighbours))
+
+    out = merged(both.mapInArrow(tidied(rank), near_schema))
+    if index.k:  # else the whole table was one cell
+        out = written(out, "found", 4)
+        left = written(out.filter(F.size("near") < neighbours).select("c").distinct().join(points, "c"), "short", 8)
+        scans, block = [], []
+
+        def scan():
+            compare = nearest(np.frombuffer(b"".join(r["x"] for r in block)).reshape(-1, dim), [r["c"] for r in block], keep, id_type)
+            scans.append(written(points.mapInArrow(tidied(compare), near_schema), "scanned", 8))
+            block.clear()
+
+        for row in left.toLocalIterator():
+            block.append(row)
+            if len(block) == SCANNED:
+                scan()
+        if block:
+            scan()
+        if scans:
+            again = merged(reduce(DataFrame.union, scans)).join(left.select("c"), "c", "left_semi")
+            out = out.join(left.select("c"), "c", "left_anti").unionByName(again)
+    out = out.select("q", F.posexplode("near"))
+    return out.select(F.col("q").alias("query_id"), (F.col("pos") + 1).alias("rank"), F.col("col.id").alias(id_col), F.col("col.d").alias("score"))
