@@ -37,7 +37,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
