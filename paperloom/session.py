@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -24,6 +26,14 @@ def session(name: str = "paperloom", master: str | None = None, **more: str) ->
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); /tmp/checkpoints where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where it is unset, a folder of this machine serves a session that runs on this machine alone; a cluster, whose
+    executors would each write to their own disk, gets an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
