@@ -20,12 +20,13 @@ def one_per_key(rows: DataFrame, keys: list[str], position: list[str], last: boo
     return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in (*position, *others)]).select(*rows.columns)
 
 
-def known_duplicates(rows: DataFrame, titles: list[str], has_attachment: Column, position: str) -> DataFrame:
-    """Rows of listed titles merged to one, one with an attachment first; every other row stays."""
-    listed = F.col("title").isin(titles)
-    w = Window.partitionBy("title").orderBy(has_attachment.desc(), F.col(position))
-    merged = rows.filter(listed).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return rows.filter(~listed | F.col("title").isNull()).unionByName(merged)
+def known_duplicates(rows: DataFrame, titles: DataFrame, has_attachment: Column, position: str) -> DataFrame:
+    """Rows of listed titles (a ``title`` column) merged to one, one with an attachment first; every other row stays."""
+    listed = titles.select("title").distinct()
+    hit = rows.join(listed, "title", "left_semi").withColumn("_p", (~has_attachment).cast("int"))
+    others = [c for c in rows.columns if c not in ("title", position)]
+    merged = hit.groupBy("title").agg(F.min(F.struct("_p", position, *others)).alias("_x")).select("title", "_x.*").select(*rows.columns)
+    return rows.join(listed, "title", "left_anti").unionByName(merged)
 
 
 def explode_attachments(rows: DataFrame, attachments: str = "attachments", title: str = "title") -> DataFrame:
@@ -54,47 +55,156 @@ def copies_after_rekey(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.join(first, key).withColumn("copy", F.col(position) != F.col("_first")).drop("_first")
 
 
-def fuzzy_clusters(rows: DataFrame, feed: str = "feed", position: str = "position", threshold: float = 0.85) -> DataFrame:
+def alike(a: str, b: str, threshold: float) -> bool:
+    """Ratcliff-Obershelp ratio of a against b reaches the threshold; cheap upper bounds come first."""
+    from difflib import SequenceMatcher
+
+    if a == b:
+        return True
+    if 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= threshold and m.ratio() >= threshold
+
+
+def similar_titles(titles: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Edges (a, b) between titles (tid, feed, norm) of a feed of which one is alike to the other.
+
+    A feed is cut into tiles; each pair of tiles is a unit of work. M matched characters of two titles of s characters
+    together need 2M >= threshold * s. The letters that both hold bound M; and as blocks of a match are apart by an
+    unmatched character at least, both share M - (s - 2M) - 1 pairs of neighbouring characters. Only what passes both
+    bounds is compared.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .graph import kept
+
+    sizes = kept(titles.groupBy("feed").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "feeds")
+    rows = titles.join(sizes, titles["feed"].eqNullSafe(sizes["feed"])).select(titles["feed"], "tid", "norm", "n")
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("tid"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = rows.select("feed", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "tid", "norm")
+
+    def edges(group):
+        left = [r for r in group if r[0] == group[0][3]]
+        right = [r for r in group if r[0] != group[0][3]]
+        same = not right
+        if same:
+            if group[0][3] != group[0][4]:
+                return  # the other tile is empty
+            right = left
+
+        def counts(texts, cells, wide):
+            out = np.zeros((len(texts), wide), np.int16)
+            for k, x in enumerate(texts):
+                np.add.at(out[k], cells(x), 1)
+            return out
+
+        letters = lambda x: np.frombuffer(x.encode(), np.uint8) % 64
+        pairs = lambda x: (np.frombuffer(x.encode()[:-1], np.uint8).astype(int) * 31 + np.frombuffer(x.encode()[1:], np.uint8)) % 512 if len(x) > 1 else []
+        a, b = [r[2] for r in left], [r[2] for r in right]
+        la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        ca, cb = counts(a, letters, 64), counts(b, letters, 64)
+        s = la[:, None] + lb[None, :]
+        common = np.zeros(s.shape, np.int32)
+        for c in np.flatnonzero(ca.any(0) & cb.any(0)).tolist():
+            common += np.minimum(ca[:, c, None], cb[None, :, c])
+        may = (2 * common >= threshold * s) & (2 * np.minimum(la[:, None], lb[None, :]) >= threshold * s)
+        if same:
+            may &= np.triu(np.ones(s.shape, bool), 1)
+        x, y = np.nonzero(may)
+        pa_, pb = counts(a, pairs, 512), counts(b, pairs, 512)
+        for at in range(0, len(x), 4096):
+            u, v = x[at : at + 4096], y[at : at + 4096]
+            shared = np.minimum(pa_[u], pb[v]).sum(1)
+            need = threshold * s[u, v] / 2 - (1 - threshold) * s[u, v] - 1
+            for p, q in zip(u[shared >= need - 1e-9].tolist(), v[shared >= need - 1e-9].tolist()):
+                if alike(a[p], b[q], threshold) or alike(b[q], a[p], threshold):
+                    yield left[p][1], right[q][1]
+
+    def run(batches):
+        key, held = None, []
+
+        def out():
+            found = list(edges(held))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for feed, i, j, t, tid, norm in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (feed, i, j) and held:
+                    yield out()
+                    held = []
+                key = (feed, i, j)
+                held.append((t, tid, norm, i, j))
+        if held:
+            yield out()
+
+    n = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "feed", "i", "j").sortWithinPartitions("feed", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def fuzzy_clusters(rows: DataFrame, feed: str = "feed", position: str = "position", threshold: float = 0.85, tile: int = 512) -> DataFrame:
     """Rows with ``cluster``: the position of the first row of their group, in one greedy pass over each feed.
 
     A row joins the first group whose representative title is similar enough (Ratcliff-Obershelp over normalised
     titles) and whose date and status are equal or missing on one side; the group then takes over what it lacked. The
-    result depends on the order, so a feed is one unit of work; its rows are few by the nature of a listing, and only
-    titles, dates and statuses are sent. Titles compared before are remembered, and lengths that cannot reach the
-    threshold (2 * shorter / (both) bounds the ratio) are never compared.
+    result depends on the order. A row can only join a title that it is alike to, so the pass over a feed falls apart into
+    passes over the components of alike titles: none holds more than its component, and the result is the same.
     """
-    slim = rows.select(feed, position, text.matching_title(F.col("title")).alias("norm"), F.trim(F.coalesce("listed_date", F.lit(""))).alias("listed_date"), F.trim(F.coalesce("status", F.lit(""))).alias("status"))
-
-    def run(pdf):
-        from difflib import SequenceMatcher
-
-        pdf = pdf.sort_values(position, kind="stable")
-        groups, seen, out = [], {}, []
-
-        def similar(a, b):
-            if a == b:
-                return True
-            if 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
-                return False
-            if (a, b) not in seen:
-                m = SequenceMatcher(None, a, b)
-                seen[a, b] = m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
-            return seen[a, b]
-
-        for p, norm, date, status in zip(pdf[position], pdf["norm"], pdf["listed_date"], pdf["status"]):
-            for g in groups:
-                if (date and g[2] and date != g[2]) or (status and g[3] and status != g[3]) or not similar(norm, g[1]):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from .graph import components, kept
+
+    slim = rows.select(F.col(feed).alias("feed"), F.col(position).alias("position"), text.matching_title(F.col("title")).alias("norm"), F.trim(F.coalesce("listed_date", F.lit(""))).alias("listed_date"), F.trim(F.coalesce("status", F.lit(""))).alias("status"))
+    titles = kept(slim.select("feed", "norm").distinct().withColumn("tid", F.monotonically_increasing_id()), "titles")
+    groups = components(similar_titles(titles, threshold, tile)).withColumnRenamed("id", "tid")
+    titles = titles.join(groups, "tid", "left").select(F.col("feed").alias("_f"), F.col("norm").alias("_n"), F.coalesce("component", "tid").alias("unit"))
+    slim = slim.join(titles, slim["feed"].eqNullSafe(F.col("_f")) & (slim["norm"] == F.col("_n"))).select("unit", "feed", "position", "norm", "listed_date", "status")
+    kinds = [to_arrow_type(slim.schema[c].dataType) for c in ("feed", "position", "position")]
+
+    def clusters(unit):
+        found, seen = [], {}
+        for p, norm, date, status in unit:
+            for g in found:
+                if (date and g[2] and date != g[2]) or (status and g[3] and status != g[3]):
                     continue
-                g[2], g[3] = g[2] or date, g[3] or status
-                out.append(g[0])
-                break
+                if (norm, g[1]) not in seen:
+                    seen[norm, g[1]] = alike(norm, g[1], threshold)
+                if seen[norm, g[1]]:
+                    g[2], g[3] = g[2] or date, g[3] or status
+                    yield p, g[0]
+                    break
             else:
-                groups.append([p, norm, date, status])
-                out.append(p)
-        return pdf[[feed, position]].assign(cluster=out)
-
-    schema = T.StructType([slim.schema[feed], slim.schema[position], T.StructField("cluster", slim.schema[position].dataType)])
-    return rows.join(slim.groupBy(feed).applyInPandas(run, schema), [feed, position])
+                found.append([p, norm, date, status])
+                yield p, p
+
+    def run(batches):
+        key, held, out = None, [], []
+
+        def full():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["feed", "position", "cluster"])
+
+        for batch in batches:
+            for unit, name, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (unit, name) and held:
+                    out += [(key[1], *x) for x in clusters(held)]
+                    held = []
+                key = (unit, name)
+                held.append(row)
+                if len(out) > 8192:
+                    yield full()
+                    out = []
+        if held:
+            out += [(key[1], *x) for x in clusters(held)]
+        if out:
+            yield full()
+
+    schema = T.StructType([slim.schema["feed"], slim.schema["position"], T.StructField("cluster", slim.schema["position"].dataType)])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = slim.repartition(n, "unit").sortWithinPartitions("unit", "feed", "position").mapInArrow(run, schema)
+    found = found.select(F.col("feed").alias("_f"), F.col("position").alias("_p"), "cluster")
+    return rows.join(found, rows[feed].eqNullSafe(F.col("_f")) & (rows[position] == F.col("_p"))).drop("_f", "_p")
 
 
 def representatives(clustered: DataFrame, priority: list[str], feed: str = "feed", position: str = "position", section: str = "source_section") -> DataFrame:
