@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .overview import share, tag_usage
@@ -106,13 +106,17 @@ def concept_share(tag: DataFrame) -> DataFrame:
     return out.withColumn("mapped_pct", share(F.col("mapped"), F.col("tags")))
 
 
-def new_since(document: DataFrame, regulator: DataFrame, asof: str, days: int = 1) -> DataFrame:
-    """Documents first ingested in the days up to asof, per regulator."""
-    day = F.lit(asof).cast("date")
-    rows = document.filter((F.col("first_ingested") > F.date_sub(day, days)) & (F.col("first_ingested") <= day))
+def new_since(document: DataFrame, regulator: DataFrame, since: Column) -> DataFrame:
+    """Documents first ingested at a time or later, per regulator."""
+    rows = document.filter(F.col("first_ingested") >= since)
     return rows.groupBy("regulator_id").agg(F.count("*").alias("n")).join(regulator, "regulator_id").select("code", "n")
 
 
+def run_summary(rows: DataFrame, group: str, needs_download: Column, has_file: Column) -> DataFrame:
+    """Rows of each group, and how many need a download or have no file."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(needs_download).alias("needs_download"), F.count_if(~F.coalesce(has_file, F.lit(False))).alias("no_file"))
+
+
 def dominant(rows: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
     """Groups of ``least`` rows or more in which one value holds over half."""
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -83,6 +83,141 @@ def _store(rows: DataFrame) -> DataFrame:
     return normalized(rows.filter("kept"), regulator_code=F.lit("document-store"), source_id=c("id"), title=c("title"), source_url=F.coalesce("url", "id"), published_date=c("date"), file_url=c("url"), category_hint=c("subject"), status_hint=c("status"))
 
 
+def iso_or_raw(raw: Column, read: Callable[[Column], Column]) -> Column:
+    """ISO text of what reads as a date, else the raw text; null for empty text."""
+    return F.when(raw != "", F.coalesce(F.date_format(read(raw), "yyyy-MM-dd"), raw))
+
+
+def filled(c: Column) -> Column:
+    """The text, null when it is empty."""
+    return F.when(F.trim(c) != "", c)
+
+
+def _file_feed(rows: DataFrame, code: str, read: Callable[[Column], Column], date: str, source_url: Column) -> DataFrame:
+    """A feed of files: without a link there is nothing to download."""
+    c, link = F.col, filled(F.col("pdf_link"))
+    return normalized(rows, regulator_code=F.lit(code), source_id=c("id"), title=c("title"), source_url=F.coalesce(source_url, F.lit("")), published_date=iso_or_raw(c(date), read), file_url=link, file_extension_hint=F.when(link.isNotNull(), "pdf"), category_hint=c("category"), needs_download=link.isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("detail-page-feed")
+def _detail_pages(rows: DataFrame) -> DataFrame:
+    """id, title, link (detail page), pdf_link, date, category, scraped_at."""
+    return _file_feed(rows, "detail-page-feed", dates.free, "date", F.col("link"))
+
+
+@adapter("file-only-feed")
+def _file_only(rows: DataFrame) -> DataFrame:
+    """id, title, pdf_link, publish_date (month first), category, scraped_at; the file is the source."""
+    return _file_feed(rows, "file-only-feed", lambda c: dates.parse(F.trim(c), ["M/d/yyyy"]), "publish_date", F.col("pdf_link"))
+
+
+def _excerpted(rows: DataFrame, code: str, title: Column, date: Column, link: Column, hint: Column, excerpt: Column) -> DataFrame:
+    """A feed that brings an excerpt of the file; a missing one leaves the file to be read."""
+    has = filled(excerpt)
+    return normalized(rows, regulator_code=F.lit(code), source_id=F.col("id"), title=F.coalesce(title, F.lit("")), source_url=F.coalesce(link, F.lit("")), published_date=date, file_url=filled(link), file_extension_hint=F.lit("pdf"), category_hint=hint, raw_text=has, raw_text_source=F.when(has.isNotNull(), "pdf_excerpt"), needs_download=has.isNull(), scraped_at=F.col("scraped_at"))
+
+
+@adapter("petition-orders")
+def _petition_orders(rows: DataFrame) -> DataFrame:
+    """id, subject, petition_no, date_order, date_posted, category, pdf_url, pdf_digest, scraped_at."""
+    c = F.col
+    date = F.coalesce(filled(c("date_order")), filled(c("date_posted")))
+    return _excerpted(rows, "petition-orders", F.coalesce(filled(c("subject")), c("petition_no")), iso_or_raw(date, dates.basic), c("pdf_url"), c("category"), c("pdf_digest"))
+
+
+@adapter("petition-regulations")
+def _petition_regulations(rows: DataFrame) -> DataFrame:
+    """id, reg_name, noti_pdf_url, pdf_digest, scraped_at; the list has no dates."""
+    c = F.col
+    return _excerpted(rows, "petition-regulations", c("reg_name"), F.lit(None), c("noti_pdf_url"), F.lit("Regulation"), c("pdf_digest"))
+
+
+@adapter("tribunal-judgments")
+def _judgments(rows: DataFrame) -> DataFrame:
+    """id, cause_title, petition_no, date_of_decision, date_uploaded (dd.mm.yyyy), pdf_url, pdf_text, scraped_at."""
+    c = F.col
+    date = F.coalesce(filled(c("date_of_decision")), filled(c("date_uploaded")))
+    return _excerpted(rows, "tribunal-judgments", F.coalesce(filled(c("cause_title")), c("petition_no")), iso_or_raw(date, lambda d: dates.parse(F.trim(d), ["d.M.yyyy"])), c("pdf_url"), F.lit(None), c("pdf_text"))
+
+
+@adapter("grouped-notices")
+def _grouped(rows: DataFrame) -> DataFrame:
+    """position, title, pdf_link, source_page, source_section, status, listed_date, scraped_at: one row a document.
+
+    The same notice is listed by several sections under other links; archives win.
+    """
+    from . import dedup
+
+    c, link = F.col, filled(F.col("pdf_link"))
+    feed = rows if "feed" in rows.columns else rows.withColumn("feed", F.lit("notices"))
+    best = dedup.representatives(dedup.fuzzy_clusters(feed), ["archive"])
+    return normalized(best, regulator_code=F.lit("grouped-notices"), source_id=text.stable_id(c("title"), c("pdf_link"), length=16), title=c("title"), source_url=c("source_page"), file_url=link, file_extension_hint=F.when(link.isNotNull(), "pdf"), category_hint=c("source_section"), status_hint=filled(c("status")), needs_download=link.isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("multi-body-records")
+def _multi_body(rows: DataFrame) -> DataFrame:
+    """id, title, url, source, category, published_date, details (map of label to value), listing_url, status, scraped_at.
+
+    An event's date is when it happens, so events have none. A record without a link is complete as its labelled details.
+    """
+    c, link = F.col, filled(F.col("url"))
+    event = F.col("category") == "EVENTS"
+    lines = F.array_join(F.transform(F.filter(F.map_entries("details"), lambda e: F.trim(e["value"]) != ""), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    block = F.when(link.isNull(), filled(lines))
+    return normalized(rows, regulator_code=F.lit("multi-body-records"), source_id=c("id"), title=c("title"), source_url=F.coalesce(link, c("listing_url")), published_date=F.when(~event, filled(c("published_date"))), file_url=link, file_extension_hint=urls.extension(link), category_hint=F.concat_ws("_", "source", "category"), status_hint=filled(c("status")), raw_text=block, raw_text_source=F.when(block.isNotNull(), "html_page"), needs_download=link.isNotNull(), scraped_at=filled(c("scraped_at")))
+
+
+@adapter("service-circulars")
+def _circulars(rows: DataFrame) -> DataFrame:
+    """title, file_url, listing_url (a page of a feed), site_category, issued_by, services_path, published_date, scraped_at.
+
+    Pages of a feed shift, so the feed and not the page is the source; title and file name a circular.
+    """
+    c = F.col
+    feed = urls.without_page(c("listing_url"))
+    return normalized(rows, regulator_code=F.lit("service-circulars"), source_id=text.stable_id(F.lit("service-circulars"), feed, c("title"), c("file_url")), title=c("title"), source_url=feed, published_date=iso_or_raw(c("published_date"), dates.free), file_url=filled(c("file_url")), file_extension_hint=urls.extension(c("file_url")), category_hint=text.category_hint(c("site_category"), c("issued_by"), c("services_path")), needs_download=filled(c("file_url")).isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("programme-calls")
+def _calls(rows: DataFrame) -> DataFrame:
+    """source_id, source_cluster, listing_url, title, file_url, html_url, published_date, status_hint, scraped_at."""
+    c = F.col
+    target = F.coalesce(filled(c("file_url")), filled(c("html_url")))
+    return normalized(rows, regulator_code=F.lit("programme-calls"), source_id=c("source_id"), title=c("title"), source_url=F.coalesce(filled(c("html_url")), c("listing_url")), published_date=c("published_date"), file_url=target, file_extension_hint=urls.extension(target), category_hint=c("source_cluster"), status_hint=c("status_hint"), needs_download=target.isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("reference-listing")
+def _references(rows: DataFrame) -> DataFrame:
+    """id, category, short_description, reference_no, last_updated, detail_page, pdf_link, scraped_at."""
+    c, link = F.col, filled(F.col("pdf_link"))
+    title = F.when(filled(c("reference_no")).isNotNull(), F.concat(c("short_description"), F.lit(" ["), c("reference_no"), F.lit("]"))).otherwise(c("short_description"))
+    return normalized(rows, regulator_code=F.lit("reference-listing"), source_id=c("id"), title=title, source_url=F.coalesce(filled(c("detail_page")), link), published_date=iso_or_raw(c("last_updated"), dates.free), file_url=link, file_extension_hint=urls.extension(link), category_hint=c("category"), needs_download=link.isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("card-listing")
+def _card_listing(rows: DataFrame) -> DataFrame:
+    """title, is_group, published_date_raw (dd.mm.yyyy), link, listing_url, scraped_at; a group row must be expanded before."""
+    from . import dedup
+
+    c = F.col
+    rows = dedup.refuse_groups(rows)
+    return normalized(rows, regulator_code=F.lit("card-listing"), source_id=text.stable_id(F.lit("card-listing"), c("link"), c("title")), title=c("title"), source_url=c("listing_url"), published_date=iso_or_raw(c("published_date_raw"), dates.basic), file_url=filled(c("link")), file_extension_hint=urls.extension(c("link")), needs_download=filled(c("link")).isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("category-table")
+def _category_table(rows: DataFrame) -> DataFrame:
+    """title, category, date, detail_link, file_link, scraped_at."""
+    c, link = F.col, filled(F.col("file_link"))
+    return normalized(rows, regulator_code=F.lit("category-table"), source_id=text.stable_id(F.lit("category-table"), c("detail_link"), c("title")), title=c("title"), source_url=c("detail_link"), published_date=iso_or_raw(c("date"), dates.free), file_url=link, file_extension_hint=urls.extension(link), category_hint=filled(c("category")), needs_download=link.isNotNull(), scraped_at=c("scraped_at"))
+
+
+@adapter("faq-listing")
+def _faqs(rows: DataFrame) -> DataFrame:
+    """faq_id, title_text, published_date, category, url, pdf_link, scraped_at; the page is the text where there is no file."""
+    c, link = F.col, filled(F.col("pdf_link"))
+    return normalized(rows, regulator_code=F.lit("faq-listing"), source_id=c("faq_id"), title=c("title_text"), source_url=c("url"), published_date=iso_or_raw(c("published_date"), dates.free), file_url=link, file_extension_hint=F.when(link.isNotNull(), "pdf"), category_hint=c("category"), scraped_at=c("scraped_at"))
+
+
 def active_taxonomy(tag: DataFrame) -> DataFrame:
     return tag.filter("status = 'ACTIVE'").filter(F.col("facet").isin("SUBJECT", "INSTRUMENT_TYPE", "STATUS"))
 
@@ -150,7 +285,6 @@ def document_codes(rows: DataFrame, existing: DataFrame, asof: str, position: li
     out = rows.withColumn("prefix", F.concat_ws("-", "code", F.coalesce("subject_code", F.lit("UNK")), F.coalesce("instrument_code", F.lit("UNK")), year))
     parts = existing.select(F.regexp_extract("document_code", r"^(.*)-(\d+)$", 1).alias("prefix"), F.regexp_extract("document_code", r"^(.*)-(\d+)$", 2).try_cast("long").alias("n"))
     largest = parts.groupBy("prefix").agg(F.max("n").alias("_last"))
-    seq = F.row_number().over(Window.partitionBy("prefix").orderBy(*position)) + F.coalesce("_last", F.lit(0))
     out = out.withColumn("_seq", F.row_number().over(Window.partitionBy("prefix").orderBy(*position))).join(largest, "prefix", "left")
     seq = (F.col("_seq") + F.coalesce("_last", F.lit(0))).cast("string")
     return out.withColumn("document_code", F.concat_ws("-", "prefix", F.when(F.length(seq) < 3, F.lpad(seq, 3, "0")).otherwise(seq))).drop("_seq", "_last", "prefix")

@@ -34,6 +34,7 @@ def backfill(rows: DataFrame, mapping: DataFrame, keys: list[str], column: str)
     return rows.join(mapping.select(*keys, F.col(column).alias("_new")), keys, "left").withColumn(column, F.coalesce(column, "_new")).drop("_new")
 
 
+# The forms of an authorisation's number and of an amendment's name.
 AUTHORISATION = r"(?i)PMA/IN-SPAC\w*/AUTH/(\d{4})/(\d+)([A-Z])?"
 AMENDMENT = r"(?i)amendment\s*no\.?\s*\d+"
 
@@ -126,11 +127,19 @@ def mapping_violations(mapping: DataFrame, tag: DataFrame) -> DataFrame:
 
 
 def relink(tag: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Tags with concepts cleared and set anew; callers check mapping_violations first and overwrite as a whole."""
+    """Tags with concepts cleared and set anew; callers overwrite as a whole."""
     keys = ["regulator_id", "facet", "name"]
     return tag.drop("concept").join(mapping.select(*keys, "concept").distinct(), keys, "left")
 
 
+def relink_whole(tag: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``relink``, all or nothing: a mapping with a violation raises and names one."""
+    bad = mapping_violations(mapping, tag).filter("why <> 'one_regulator'").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['why']}: {bad[0]['item']}")
+    return relink(tag, mapping)
+
+
 def resolve_edges(edges: DataFrame, document: DataFrame) -> DataFrame:
     """Relationship edges whose hint names a document's source id get their target."""
     names = document.select(F.col("source_id").alias("target_hint"), F.col("entry_id").alias("_to"))

@@ -32,6 +32,7 @@ ENTRY = _struct(
 )
 RELATIONSHIP = _struct("from_id string, to_id string, type string, target_hint string, resolved boolean")
 ENTRY_TAG = _struct("entry_id string, tag_id string")
+REGISTRATION = _struct("code string, adapter string, markers array<string>, has_detection boolean, timeout_ms long, skip_scheduled string")
 RUN = _struct("run_id string, started_at timestamp, finished_at timestamp, trigger string")
 RUN_REGULATOR = _struct("run_id string, regulator_id int, status string, found long, known long, ingested long, flagged long, failed long, detail string, duration_ms long")
 STORE = _struct("id string, title string, url string, source_feed string, date string, subject string, instrument_type string, status string, confidence double, method string, needs_review boolean, review_reasons string, kept boolean, etag string, last_modified string")

@@ -5,14 +5,18 @@ The order of a document's versions is (ts, event_id); there is no rule for late
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 CHANGE = "document_id long, event_id long, field_changed string, old_value string, new_value string"
 TRACKED = ["status", "kept"]
+#: Fields of a document store whose changes are logged, and those that an update leaves as they were first stored.
+STORE_TRACKED = ["subject", "instrument_type", "status", "kept"]
+STORE_FIRST = ["source_url", "source_feed", "regulator", "ingested_at"]
 
 
 def as_text(c: Column, kind: str) -> Column:
@@ -29,10 +33,48 @@ def change_log(versions: DataFrame, fields: list[str] = TRACKED) -> DataFrame:
     return rows.select("document_id", "event_id", "ts", F.explode("_c").alias("c")).filter("NOT (c.old_value <=> c.new_value)").select("document_id", "event_id", "ts", "c.*")
 
 
+def capture(store: DataFrame, batch: DataFrame, at: Column, key: str = "id", fields: list[str] = STORE_TRACKED, first: list[str] = STORE_FIRST) -> tuple[DataFrame, DataFrame]:
+    """The store with a batch upserted, and the change log of the batch.
+
+    A row of the batch replaces all of a stored row but ``first``, nulls included, and sets last_checked; a new row logs
+    nothing. The batch holds a key once. Columns that the batch lacks keep their values.
+    """
+    kinds = dict(store.dtypes)
+    names = [c for c in store.columns if c not in (key, "last_checked")]
+    new = batch.select(F.col(key), *(F.col(c).alias(f"_n_{c}") for c in names if c in batch.columns), F.lit(True).alias("_new"))
+    old = store.select(F.col(key), *(F.col(c).alias(f"_o_{c}") for c in names), F.col("last_checked").alias("_checked") if "last_checked" in store.columns else F.lit(None).cast("timestamp").alias("_checked"), F.lit(True).alias("_old"))
+    rows = old.join(new, key, "full_outer")
+
+    def value(c: str) -> Column:
+        if c not in batch.columns:
+            return F.col(f"_o_{c}")
+        if c in first:
+            return F.coalesce(f"_o_{c}", f"_n_{c}")
+        return F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}"))
+
+    after = rows.select(key, *(value(c).alias(c) for c in names), F.when(F.col("_new"), at).otherwise(F.col("_checked")).alias("last_checked"))
+    tracked = [f for f in fields if f in batch.columns]
+    cells = F.array(*(F.struct(F.lit(f).alias("field_changed"), as_text(F.col(f"_o_{f}"), kinds[f]).alias("old_value"), as_text(F.col(f"_n_{f}"), kinds[f]).alias("new_value")) for f in tracked))
+    log = rows.filter("_old AND _new").select(F.col(key).alias("document_id"), F.explode(cells).alias("c")).filter("NOT (c.old_value <=> c.new_value)")
+    return after, log.select("document_id", "c.*", at.alias("changed_at"))
+
+
+def touch_checked(store: DataFrame, items: DataFrame, decisions: DataFrame, at: Column, key: str = "id") -> DataFrame:
+    """The store with the fingerprints of items that were found unchanged, or had none, and the time of the check.
+
+    Nothing else of a row changes, so no check can overwrite a classification. decisions: key, decision (``fingerprints``).
+    """
+    seen = items.select(key, F.col("etag").alias("_e"), F.col("last_modified").alias("_m")).join(decisions.filter("decision = 'unchanged'").select(key), key, "left_semi")
+    rows = store.join(seen.withColumn("_hit", F.lit(True)), key, "left")
+    pick = lambda c, new: F.when(F.col("_hit"), F.coalesce(new, c)).otherwise(F.col(c)).alias(c)
+    changed = {"etag": pick("etag", "_e"), "last_modified": pick("last_modified", "_m"), "last_checked": F.when(F.col("_hit"), at).otherwise(F.col("last_checked")).alias("last_checked")}
+    return rows.select(*(changed.get(c, F.col(c)) for c in store.columns))
+
+
 def status_changes_since(log: DataFrame, store: DataFrame, since: str) -> DataFrame:
-    """Documents whose status changed since a time, with their state now."""
+    """Documents whose status changed since a time, with their state now, the newest change first."""
     hit = log.filter((F.col("field_changed") == "status") & (F.col("ts") >= F.lit(since).cast("timestamp"))).groupBy("document_id").agg(F.max("ts").alias("changed_at"))
-    return store.select("document_id", "status").join(hit, "document_id")
+    return store.select("document_id", "status").join(hit, "document_id").orderBy(F.col("changed_at").desc(), "document_id")
 
 
 def first_inserts(versions: DataFrame, condition: Column) -> DataFrame:
@@ -97,24 +139,60 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[st
         spark = rows.sparkSession
         others = [c for c in rows.columns if c not in keys]
         new = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, "_r.*")
-        try:
+        if exists(spark, target):  # it appears with the first batch
             known = spark.read.parquet(target).filter(F.col("_batch") != batch_id)
-        except Exception as e:  # the target appears with the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        if known is not None:
             new = new.join(known.select(*keys), keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{target}/_batch={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def poll(tick: Callable[[], None], interval: float, ticks: int | None = None, sleep: Callable[[float], None] = time.sleep, failed: Callable[[Exception], None] | None = None) -> int:
+    """Runs ``tick`` now and after every interval; one that fails is reported and tried again at the next. Returns failures.
+
+    For sources that only a driver can watch; a stream over files has ``trigger(processingTime=...)`` for this.
+    """
+    errors, n = 0, 0
+    while ticks is None or n < ticks:
+        if n:
+            sleep(interval)
+        n += 1
+        try:
+            tick()
+        except Exception as e:
+            errors += 1
+            if failed is not None:
+                failed(e)
+    return errors
+
+
 def run_log(runs: DataFrame) -> DataFrame:
     """Runs with duration in seconds."""
     return runs.withColumn("seconds", F.col("finished_at").cast("double") - F.col("started_at").cast("double"))
 
 
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Appends finished runs to the log; a run that the log already holds is not added again."""
+    spark = runs.sparkSession
+    new = run_log(runs)
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("run_id"), "run_id", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def run_history(log: DataFrame, results: DataFrame) -> DataFrame:
+    """Each run with its sources' outcomes: run_id, started_at, seconds, sources, ingested, errors, failed (all errored)."""
+    sums = results.groupBy("run_id").agg(F.count("*").alias("sources"), F.sum("ingested").alias("ingested"), F.count_if(F.col("status") == "ERROR").alias("errors"))
+    out = log.join(sums, "run_id", "left").select("run_id", "started_at", "seconds", F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("ingested", F.lit(0)).alias("ingested"), F.coalesce("errors", F.lit(0)).alias("errors"))
+    return out.withColumn("failed", (F.col("sources") > 0) & (F.col("sources") == F.col("errors")))
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Extension, beyond the inventory: counts of events by window with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "status").agg(F.count("*").alias("n"))
