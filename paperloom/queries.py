@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, text, urls
-from .operators import audit, browse, dedup, ingest, maintain, overview, quality, sample
+from .operators import audit, browse, dedup, ingest, maintain, overview, quality, registry, sample
 from .plans.surrogate import ASOF, Tables, as_events, sql
 from .session import scratch
 from .sources import html
@@ -65,9 +65,10 @@ def domain_overview(t):
     return overview.domain_overview(t.domain(), t.regulator(), t.document(), t.entry())
 
 
-@query()
+@query(f"SELECT domain_id, domain_name, CAST(to_json(list({{'code': code, 'published': published, 'total': total}} ORDER BY code)) AS VARCHAR) AS regulators FROM ({_OVERVIEW}) GROUP BY 1, 2")
 def domain_overview_nested(t):
-    return overview.nested_by(domain_overview(t), ["domain_id", "domain_name"], ["code", "published", "total"], "regulators")
+    rows = overview.nested_by(domain_overview(t), ["domain_id", "domain_name"], ["code", "published", "total"], "regulators")
+    return rows.withColumn("regulators", F.to_json("regulators"))
 
 
 @query(f"SELECT domain_name, CAST(sum(published) AS BIGINT) AS published FROM ({_OVERVIEW}) GROUP BY domain_name")
@@ -158,9 +159,12 @@ def entry_detail_public(t):
     return browse.public(_rows(t).join(least, "entry_id")).select("entry_id", "code", "status", F.array_sort("review_reasons").alias("review_reasons"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT entry_id, subject_id, instrument_id, published_date FROM {_JOINED} WHERE NOT needs_review ORDER BY {_ORDERS['newest']} LIMIT 25)
+SELECT entry_id, CASE WHEN s.tag_id IS NOT NULL THEN CAST(to_json({{'tag_id': s.tag_id, 'name': s.name}}) AS VARCHAR) END AS subject, CASE WHEN i.tag_id IS NOT NULL THEN CAST(to_json({{'tag_id': i.tag_id, 'name': i.name}}) AS VARCHAR) END AS instrument, published_date
+FROM p LEFT JOIN tag_v s ON s.tag_id = subject_id LEFT JOIN tag_v i ON i.tag_id = instrument_id""", "published_date")
 def entry_nested(t):
-    return browse.nested(browse.page(browse.public(_rows(t)), browse.Filters()), t.tag()).select("entry_id", "subject", "instrument", "published_date")
+    rows = browse.nested(browse.page(browse.public(_rows(t)), browse.Filters()), t.tag())
+    return rows.select("entry_id", F.to_json("subject").alias("subject"), F.to_json("instrument").alias("instrument"), "published_date")
 
 
 @query("SELECT facet, regulator_id, name, tag_id FROM tag_v WHERE status = 'ACTIVE'")
@@ -304,9 +308,9 @@ def live_versions(t):
     return audit.versions(t.tag(), "concept")
 
 
-@query(f"SELECT code, count(*) AS n FROM document_v JOIN regulator_v USING (regulator_id) WHERE first_ingested > DATE '{ASOF}' - 1 AND first_ingested <= DATE '{ASOF}' GROUP BY code")
+@query(f"SELECT code, count(*) AS n FROM document_v JOIN regulator_v USING (regulator_id) WHERE first_ingested >= TIMESTAMP '{ASOF}' - INTERVAL 24 HOURS GROUP BY code")
 def new_last_24h(t):
-    return audit.new_since(t.document(), t.regulator(), ASOF)
+    return audit.new_since(t.document(), t.regulator(), F.lit(ASOF).cast("timestamp") - F.expr("INTERVAL 24 HOURS"))
 
 
 @query("""SELECT code, count(CASE WHEN facet = 'SUBJECT' THEN 1 END) AS subject, count(CASE WHEN facet = 'INSTRUMENT_TYPE' THEN 1 END) AS instrument_type
@@ -328,7 +332,7 @@ def store_stats(t):
 
 @query("SELECT feed, count(*) AS n, count(CASE WHEN n_chars > 1000 THEN 1 END) AS needs_download, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) AS no_file FROM normalized_v GROUP BY feed")
 def run_summary(t):
-    return t.normalized().groupBy("feed").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 1000).alias("needs_download"), F.count_if(F.col("doc_id") % 3 == 0).alias("no_file"))
+    return audit.run_summary(t.normalized(), "feed", F.col("n_chars") > 1000, F.col("doc_id") % 3 != 0)
 
 
 _FILE = "SELECT CAST(document_id AS VARCHAR) AS source_id, status_hint AS title, CASE WHEN document_id % 31 = 0 THEN 'May-1997' ELSE CAST(published_date AS VARCHAR) END AS published_date FROM document_v"
@@ -440,12 +444,15 @@ def model_output(t):
     return ingest.validated(rows, {"subject": ["click", "view"]}).select("event_id", "subject", "needs_review")
 
 
-@query()
+@query("SELECT regulator_id, facet, CAST(to_json(list({'value': name, 'meaning': coalesce(concept, '')} ORDER BY name, coalesce(concept, ''))) AS VARCHAR) AS tags FROM tag_v GROUP BY 1, 2")
 def prompt_tag_lists(t):
     return ingest.prompt_tags(t.tag().withColumn("definition", F.col("concept")))
 
 
-@query()
+_LADDER = "CASE WHEN contains(t, 'draft') AND contains(t, 'rule') THEN 'draft_rule' " + " ".join(f"WHEN contains(t, '{w}') THEN '{k}'" for w, k in text.DOCUMENT_TYPES) + " ELSE 'other' END"
+
+
+@query(f"""SELECT doc_id, '{{"keep":true,"instrument_type":"' || {_LADDER} || '","confidence":0.5,"needs_review":false}}' AS raw FROM (SELECT doc_id, lower(title) AS t FROM normalized_v)""")
 def classified_titles(t):
     return ingest.classified(t.normalized()).select("doc_id", "raw")
 
@@ -459,8 +466,8 @@ variant("dedup_last_wins", lambda t: dedup.one_per_key(t.events(), ["document_id
 @query("""SELECT p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY (p_size > 40)::INT DESC, p_partkey) AS r, p_name IN (SELECT min(p_name) FROM part UNION SELECT max(p_name) FROM part) AS listed FROM part) WHERE NOT listed OR r = 1""")
 def known_duplicate_merge(t):
     part = t.raw("part").select("p_partkey", F.col("p_name").alias("title"), "p_size")
-    ends = part.agg(F.min("title"), F.max("title")).first()
-    return dedup.known_duplicates(part, list(ends), F.col("p_size") > 40, "p_partkey").select("p_partkey")
+    ends = part.agg(F.array(F.min("title"), F.max("title")).alias("t")).select(F.explode("t").alias("title"))
+    return dedup.known_duplicates(part, ends, F.col("p_size") > 40, "p_partkey").select("p_partkey")
 
 
 @query("""WITH e AS (SELECT event_id, status AS title, CASE k % 3 WHEN 0 THEN [] WHEN 1 THEN ['Notice'] ELSE ['Q1', 'Licence 06 of 2026'] END AS names FROM event_v),
@@ -497,7 +504,7 @@ def copies_after_rekey(t):
 
 
 # Maintenance
-@query("""WITH s AS (SELECT p_partkey AS source_id, lower(p_name) AS t FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END AS source_id, lower(p_name) AS t FROM part WHERE p_size > 48)
+@query("""WITH s AS (SELECT p_partkey AS source_id, lower(p_name) AS t FROM part), n AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 1000000 ELSE 0 END AS source_id, lower(p_name) AS t FROM part)
 SELECT n.source_id, CASE WHEN ns IS NULL THEN 'new' WHEN ns > 1 OR nn > 1 THEN 'ambiguous' ELSE 'remap' END AS outcome, CASE WHEN ns = 1 AND nn = 1 THEN lo END AS stored_id
 FROM n JOIN (SELECT t, count(*) AS nn FROM n GROUP BY t) USING (t) LEFT JOIN (SELECT t, count(*) AS ns, min(source_id) AS lo FROM s GROUP BY t) USING (t) WHERE n.source_id NOT IN (SELECT source_id FROM s)""")
 def remap_one_to_one(t):
@@ -513,7 +520,7 @@ def status_backfill(t):
     return maintain.backfill(rows, mapping, ["category_hint"], "status").select("entry_id", "status")
 
 
-_ORDERS_AS_TITLES = "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, 'PMA/IN-SPACe/AUTH/2024/' || (o_orderkey % 500) || CASE WHEN o_orderkey % 11 = 0 THEN 'A' ELSE '' END || CASE WHEN o_orderkey % 13 = 0 THEN ' Amendment No. 1' ELSE '' END AS title, CASE o_orderstatus WHEN 'F' THEN 'In Force' WHEN 'P' THEN 'Amended' END AS status, o_orderkey AS position FROM orders WHERE o_orderkey % 3 <> 1"
+_ORDERS_AS_TITLES = "SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, 'PMA/IN-SPACe/AUTH/2024/' || (o_orderkey % 500) || CASE WHEN o_orderkey % 11 = 0 THEN 'A' ELSE '' END || CASE WHEN o_orderkey % 13 = 0 THEN ' Amendment No. 1' ELSE '' END AS title, CASE o_orderstatus WHEN 'F' THEN 'In Force' WHEN 'P' THEN 'Amended' END AS status, o_orderkey AS position FROM orders"
 
 
 def _titled_orders(t):
@@ -536,7 +543,7 @@ def amendment_applied(t):
     return maintain.amend(_titled_orders(t)).select("entry_id", "status")
 
 
-_RULES = "SELECT CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 4 = 0 THEN 'auth/2024' ELSE 'tender' END AS title_contains, 'In Force' AS from_status, 'Superseded' AS to_status FROM orders WHERE o_orderkey % 10 = 0"
+_RULES = "SELECT CAST(o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS VARCHAR) AS entry_id, CASE WHEN o_orderkey % 4 = 0 THEN 'auth/2024' ELSE 'tender' END AS title_contains, 'In Force' AS from_status, 'Superseded' AS to_status FROM orders"
 
 
 @query(f"""WITH r AS ({_ORDERS_AS_TITLES}), x AS ({_RULES}) SELECT x.entry_id, to_status, CASE WHEN title IS NULL THEN 'not_found' WHEN NOT contains(lower(title), title_contains) THEN 'title_changed' WHEN status IS DISTINCT FROM from_status THEN 'already_changed' ELSE 'fixed' END AS outcome FROM x LEFT JOIN r USING (entry_id)""")
@@ -574,21 +581,21 @@ def ambiguous_dates(t):
 
 
 @query("""WITH r AS (SELECT document_id, CASE WHEN document_id % 2 = 0 THEN strftime(published_date, '%d/%m/%Y') ELSE strftime(published_date, '%m/%d/%Y') END AS raw, published_date AS d FROM document_v)
-SELECT document_id, CASE WHEN raw IS NULL THEN NULL WHEN document_id % 2 = 0 OR day(d) > 12 THEN d ELSE make_date(year(d), day(d), month(d)) END AS rebuilt,
-CASE WHEN raw IS NULL THEN 'no_raw_row' WHEN day(d) <= 12 THEN 'convention_ddmm' WHEN document_id % 2 = 0 THEN 'unambiguous_ddmm' ELSE 'unambiguous_mmdd' END AS basis FROM r""", "rebuilt")
+SELECT document_id, CASE WHEN raw IS NULL THEN NULL WHEN document_id % 2 = 0 OR document_id % 3 = 0 OR day(d) > 12 THEN d ELSE make_date(year(d), day(d), month(d)) END AS rebuilt,
+CASE WHEN raw IS NULL THEN 'no_raw_row' WHEN day(d) <= 12 AND document_id % 3 = 0 THEN 'evidence' WHEN day(d) <= 12 THEN 'convention_ddmm' WHEN document_id % 2 = 0 THEN 'unambiguous_ddmm' ELSE 'unambiguous_mmdd' END AS basis FROM r""", "rebuilt")
 def dot_date_rebuild(t):
-    d = t.document().select("document_id", "published_date").withColumn("title", F.lit(""))
+    named = F.concat(F.lit("Notice dated "), F.date_format("published_date", "dd-MM-yyyy"), F.lit(" on licences"))
+    d = t.document().select("document_id", "published_date", F.when(F.col("document_id") % 3 == 0, named).otherwise("").alias("title"))
     raw = d.filter("published_date IS NOT NULL").select("document_id", F.when(F.col("document_id") % 2 == 0, F.date_format("published_date", "dd/MM/yyyy")).otherwise(F.date_format("published_date", "MM/dd/yyyy")).alias("raw_date"))
     return maintain.rebuild_dates(d, raw, "document_id", F.lit(ASOF).cast("date")).select("document_id", "rebuilt", "basis")
 
 
-@query("""SELECT document_id, CASE WHEN published_date <= DATE '1998-01-01' THEN published_date END AS issued FROM document_v WHERE published_date IS NOT NULL""", "issued")
+@query(f"SELECT document_id, CASE WHEN published_date <= DATE '{ASOF}' THEN published_date END AS issued FROM document_v WHERE published_date IS NOT NULL", "issued")
 def issue_date_extract(t):
     d = F.col("published_date")
     body = F.concat(F.lit("Ref. 12/3/1999.\n  Dated:   "), F.when(F.col("document_id") % 2 == 0, F.date_format(d, "d MMMM yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy")), F.lit("\nvalid till 01-01-1950"))
     rows = t.document().filter("published_date IS NOT NULL")
-    found = dates.issue_date(body, F.lit("1998-01-01").cast("date"))["date"]
-    return rows.select("document_id", F.when(d <= "1998-01-01", found).alias("issued"))
+    return rows.select("document_id", dates.issue_date(body, F.lit(ASOF).cast("date"))["date"].alias("issued"))
 
 
 # Scalars
@@ -754,9 +761,13 @@ def page_clean_text(t):
     return t.raw("pages").select("page_id", html.clean_text("html").alias("text"))
 
 
-@query()
+@query("""SELECT page_id, 'Annual files' AS heading, '/f/' || page_id || '.pdf' AS url, 'Report' AS label, '2.5 MB' AS size FROM pages UNION ALL SELECT page_id, 'Forms', '/form', 'Form A', NULL FROM pages WHERE page_id % 2 = 0""")
 def page_sections(t):
-    return t.raw("pages").select("page_id", F.explode(html.sections("html")).alias("s")).select("page_id", "s.*")
+    """The fixture's pages hold no links under headings, so each gets a list of files and every other one a form."""
+    files = F.concat(F.lit('<h2>Annual <b>files</b></h2><ul><li><a href="/f/'), "page_id", F.lit('.pdf">Report (2.5 MB)</a></li></ul>'))
+    forms = F.when(F.col("page_id") % 2 == 0, '<h3>Forms</h3><a href="/form">Form A</a>').otherwise("")
+    pages = t.raw("pages").select("page_id", F.concat("html", files, forms).alias("html"))
+    return pages.select("page_id", F.explode(html.sections("html")).alias("s")).select("page_id", "s.*")
 
 
 @query()
@@ -764,7 +775,10 @@ def page_hub_links(t):
     return html.hubs(t.raw("pages").select("page_id", "html"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{2,}'), lambda x: trim(x, ' ')), lambda x: len(x) > 40)) AS c, generate_subscripts(list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n{2,}'), lambda x: trim(x, ' ')), lambda x: len(x) > 40), 1) AS i FROM documents),
+s AS (SELECT *, lower(c) AS l FROM b), k AS (SELECT *, (len(l) - len(replace(l, 'the', ''))) // 3 + (len(l) - len(replace(l, 'and', ''))) // 3 + (len(l) - len(replace(l, 'tion', ''))) // 4 AS n FROM s),
+r AS (SELECT *, row_number() OVER w AS rank, sum(len(c)) OVER (PARTITION BY doc_id ORDER BY n DESC, i ROWS UNBOUNDED PRECEDING) AS used FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, i))
+SELECT doc_id, coalesce(string_agg(c, chr(10) || chr(10) ORDER BY i), '') AS digest FROM documents LEFT JOIN (SELECT doc_id, c, i FROM r WHERE rank = 1 OR used <= 600) USING (doc_id) GROUP BY doc_id""")
 def keyword_digest(t):
     blocks = text.chunks(F.regexp_replace("text", "\n", "\n\n"), 40)
     return t.raw("documents").select("doc_id", text.digest(blocks, ["the", "and", "tion"], 600).alias("digest"))
@@ -775,11 +789,11 @@ SELECT vec_id, round(s, 4) AS score FROM c WHERE s >= 0.35 * (SELECT max(s) FROM
 def cosine_top_chunks(t):
     """Vectors whose best cosine with four query vectors reaches 35 percent of the top one."""
     e = t.raw("embeddings")
-    ids = [0, 1, 2, 3]  # the stated query set travels as literals
-    queries = [F.array(*(F.lit(float(x)) for x in r["embedding"])) for r in e.filter(F.col("vec_id").isin(ids)).select("embedding").collect()]
-    scored = e.select("vec_id", F.greatest(*(text.cosine(F.col("embedding"), q) for q in queries)).alias("s"))
-    top = scored.agg(F.max("s")).first()[0]
-    return scored.filter(F.col("s") >= 0.35 * top).select("vec_id", F.round("s", 4).alias("score"))
+    asked = e.filter(F.col("vec_id").isin(0, 1, 2, 3)).agg(F.collect_list("embedding").alias("asked"))  # one row, four vectors
+    best = F.array_max(F.transform("asked", lambda q: text.cosine(F.col("embedding"), q)))
+    scored = e.join(F.broadcast(asked)).select("vec_id", best.alias("s"))
+    top = scored.agg(F.max("s").alias("top"))
+    return scored.join(F.broadcast(top)).filter(F.col("s") >= 0.35 * F.col("top")).select("vec_id", F.round("s", 4).alias("score"))
 
 
 # Further predicates, roles, set operations and scalars
@@ -793,7 +807,7 @@ def prefix_tags(t):
     return t.tag().filter(F.col("name").startswith("blue")).select("tag_id")
 
 
-@query("SELECT s.name AS subject, i.name AS instrument, count(*) AS n FROM entry_v LEFT JOIN tag_v s ON s.tag_id = subject_id LEFT JOIN tag_v i ON i.tag_id = instrument_id WHERE confidence > 0.95 GROUP BY 1, 2")
+@query("SELECT s.name AS subject, i.name AS instrument, count(*) AS n FROM entry_v LEFT JOIN tag_v s ON s.tag_id = subject_id LEFT JOIN tag_v i ON i.tag_id = instrument_id GROUP BY 1, 2")
 def role_names(t):
     pairs = t.entry().groupBy("subject_id", "instrument_id").agg(F.count("*").alias("n"))
     return audit.roles(pairs, t.tag()).groupBy("subject", "instrument").agg(F.sum("n").alias("n"))
@@ -825,7 +839,7 @@ def uncovered_regulators(t):
     return t.regulator().select("regulator_id").subtract(t.document().filter("published_date > '2001-07-20'").select("regulator_id"))
 
 
-@query("SELECT 'a' AS feed, document_id AS id, category_hint AS hint FROM document_v WHERE document_id % 2 = 0 UNION ALL SELECT 'b', doc_id, NULL FROM normalized_v")
+@query("SELECT 'a' AS feed, document_id AS id, category_hint AS hint FROM document_v UNION ALL SELECT 'b', doc_id, NULL FROM normalized_v")
 def feeds_united(t):
     a = t.document().select(F.lit("a").alias("feed"), F.col("document_id").alias("id"), F.col("category_hint").alias("hint"))
     return a.unionByName(t.normalized().select(F.lit("b").alias("feed"), F.col("doc_id").alias("id")), allowMissingColumns=True)
@@ -834,25 +848,36 @@ def feeds_united(t):
 _DOOMED = "SELECT document_id FROM document_v WHERE regulator_id = 3"
 
 
-@query(f"SELECT 'documents' AS what, count(*) AS n FROM document_v WHERE regulator_id <> 3 UNION ALL SELECT 'entries', count(*) FROM entry_v WHERE document_id NOT IN ({_DOOMED})")
+@query(f"""SELECT 'documents' AS what, count(*) AS n FROM document_v WHERE regulator_id <> 3 UNION ALL SELECT 'entries', count(*) FROM entry_v WHERE document_id NOT IN ({_DOOMED})
+UNION ALL SELECT 'links', count(*) FROM (SELECT document_id, lead(document_id) OVER (PARTITION BY part_key ORDER BY document_id, entry_id) AS other FROM entry_v) WHERE other IS NOT NULL AND document_id NOT IN ({_DOOMED}) AND other NOT IN ({_DOOMED})""")
 def cascade_delete(t):
     entry = t.entry()
-    links = entry.select(F.col("entry_id").alias("from_id"), F.col("entry_id").alias("to_id"))
-    d, e, _ = maintain.cascade_delete(t.document(), entry, links, t.document().filter("regulator_id = 3").select("document_id"))
-    return audit.table_sizes(documents=d, entries=e).withColumnRenamed("table_name", "what")
+    following = F.lead("entry_id").over(Window.partitionBy("part_key").orderBy("document_id", "entry_id"))
+    links = entry.select(F.col("entry_id").alias("from_id"), following.alias("to_id")).filter("to_id IS NOT NULL")
+    d, e, kept = maintain.cascade_delete(t.document(), entry, links, t.document().filter("regulator_id = 3").select("document_id"))
+    return audit.table_sizes(documents=d, entries=e, links=kept).withColumnRenamed("table_name", "what")
 
 
 @query("""WITH m AS (SELECT concept, regulator_id, facet, name || CASE WHEN regulator_id = 4 THEN '?' ELSE '' END AS name FROM tag_v WHERE concept IS NOT NULL), k AS (SELECT regulator_id, facet, name, count(DISTINCT concept) AS n FROM m GROUP BY ALL)
-SELECT 'unresolved' AS why, count(*) AS n FROM m WHERE regulator_id = 4 UNION ALL SELECT 'two_concepts', count(*) FROM k WHERE n > 1""")
+SELECT 'unresolved' AS why, count(*) AS n FROM m WHERE regulator_id = 4 UNION ALL SELECT 'two_concepts', count(*) FROM k WHERE n > 1
+UNION ALL SELECT 'one_regulator', count(*) FROM (SELECT concept FROM m GROUP BY 1 HAVING count(DISTINCT regulator_id) < 2) HAVING count(*) > 0""")
 def mapping_violations(t):
     tag = t.tag()
     mapping = tag.filter("concept IS NOT NULL").select("concept", "regulator_id", "facet", F.when(F.col("regulator_id") == 4, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"))
-    return maintain.mapping_violations(mapping, tag).groupBy("why").agg(F.count("*").alias("n")).filter("why <> 'one_regulator'")
+    return maintain.mapping_violations(mapping, tag).groupBy("why").agg(F.count("*").alias("n"))
+
 
+_NOISY = ["Chair delivered a keynote address", "Member paid a courtesy call", "Judged the final round", "Rules"]
+_NOISY_SQL = "SELECT doc_id, title || ' ' || ['" + "', '".join(_NOISY) + "'][doc_id % 4 + 1] AS t FROM normalized_v"
 
-@query("SELECT doc_id, NOT regexp_matches(title, '(?i)(th|la)\\w* (the|le) ') AS kept, CASE WHEN regexp_matches(title, '(?i)(th|la)\\w* (the|le) ') THEN 'dropped_by_prefilter' END AS method FROM normalized_v")
+
+@query(f"""SELECT doc_id, '{{0}}' AS source, NOT regexp_matches(t, '(?i){{1}}') AS kept, CASE WHEN regexp_matches(t, '(?i){{1}}') THEN 'dropped_by_prefilter' END AS method FROM ({_NOISY_SQL}) UNION ALL
+SELECT doc_id, '{{2}}', NOT regexp_matches(t, '(?i){{3}}'), CASE WHEN regexp_matches(t, '(?i){{3}}') THEN 'dropped_by_prefilter' END FROM ({_NOISY_SQL})""".format(*(x for k, v in text.NOISE_RULES.items() for x in (k, "|".join(v)))))
 def prefilter_kept(t):
-    return audit.kept_or_dropped(t.normalized(), text.worth_reading(F.col("title"), [r"(th|la)\w* (the|le) "])).select("doc_id", "kept", "method")
+    title = F.concat_ws(" ", "title", F.element_at(F.array(*map(F.lit, _NOISY)), (F.col("doc_id") % 4 + 1).cast("int")))
+    rows = t.normalized().select("doc_id", title.alias("title"))
+    a, b = (audit.kept_or_dropped(rows.withColumn("source", F.lit(k)), text.worth_reading(F.col("title"), k)) for k in text.NOISE_RULES)
+    return a.unionByName(b).select("doc_id", "source", "kept", "method")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'recruitment/vacancy advertisement' WHEN 1 THEN 'newsletter' WHEN 2 THEN 'monthly achievement/progress report' END AS reason FROM normalized_v""")
@@ -902,7 +927,9 @@ def page_addresses(t):
     return t.raw("part").select("p_partkey", urls.page_of(url).alias("page"), url.alias("url"))
 
 
-@query("SELECT document_id, published_date AS a, published_date AS b, published_date AS c, strftime(published_date, '%Y-%m-01') AS d, published_date AS e FROM document_v WHERE published_date IS NOT NULL AND day(published_date) > 12")
+@query("""SELECT document_id, CAST(published_date AS VARCHAR) AS a, CASE WHEN epoch(published_date) + 18000 >= 100000000 THEN CAST(published_date AS VARCHAR) END AS b, CAST(published_date AS VARCHAR) AS c,
+CAST(make_date(year(published_date), CASE WHEN day(published_date) <= 12 THEN day(published_date) ELSE month(published_date) END, CASE WHEN day(published_date) <= 12 THEN month(published_date) ELSE day(published_date) END) AS VARCHAR) AS c2,
+strftime(published_date, '%Y-%m-01') AS d, CAST(published_date AS VARCHAR) AS e FROM document_v WHERE published_date IS NOT NULL""")
 def date_readers(t):
     d = F.col("published_date")
     rows = t.document().filter(d.isNotNull())
@@ -910,12 +937,10 @@ def date_readers(t):
     epoch = F.unix_timestamp(d.cast("timestamp") + F.expr("INTERVAL 5 HOURS"))
     b = dates.compact_or_epoch(F.when(epoch >= 100_000_000, epoch).cast("string"))  # under nine digits it is no epoch, and eight read as a day
     c = dates.month_first(F.date_format(d, "M/d/yyyy"))
+    c2 = dates.month_first(F.date_format(d, "d/M/yyyy"))  # reads month first where it can
     month = dates.with_partial(F.date_format(d, "MMMM-yyyy"))
     e = dates.in_title(F.concat(F.lit("List as on "), F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMMM, yyyy")))
-    return rows.select("document_id", a.cast("string").alias("a"), b.cast("string").alias("b"), c.alias("c"), month.alias("d"), e.cast("string").alias("e"))
-
-
-ORACLE_SQL["date_readers"] = ORACLE_SQL["date_readers"].replace("published_date AS a, published_date AS b, published_date AS c", "CAST(published_date AS VARCHAR) AS a, CAST(published_date AS VARCHAR) AS b, CAST(published_date AS VARCHAR) AS c").replace("published_date AS e FROM", "CAST(published_date AS VARCHAR) AS e FROM")
+    return rows.select("document_id", a.cast("string").alias("a"), b.cast("string").alias("b"), c.alias("c"), c2.alias("c2"), month.alias("d"), e.cast("string").alias("e"))
 
 
 @query("SELECT document_id, strftime(published_date, '%Y-%m-%d') AS start, strftime(published_date + 3, '%Y-%m-%d') AS finish, '15:00' AS at FROM document_v WHERE published_date IS NOT NULL")
@@ -943,11 +968,12 @@ def hearing_dates(t):
     return t.document().select("document_id", dates.not_after(F.col("published_date"), F.lit(ASOF).cast("date")).cast("string").alias("heard"))
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id <= (SELECT min(page_id) FROM pages WHERE url LIKE '%page=2%')")
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS site FROM pages), m AS (SELECT site, min(page_id) AS last FROM p WHERE url LIKE '%page=2%' GROUP BY 1)
+SELECT page_id, url FROM p LEFT JOIN m USING (site) WHERE last IS NULL OR page_id <= last""")
 def pages_until_marker(t):
     from .sources import files
 
-    rows = t.raw("pages").select(F.lit("s").alias("site"), "page_id", "url")
+    rows = t.raw("pages").select(F.parse_url("url", F.lit("HOST")).alias("site"), "page_id", "url")
     return files.until_short(rows, "site", "page_id", F.when(F.col("url").contains("page=2"), 0).otherwise(1), 1).select("page_id", "url")
 
 
@@ -955,3 +981,218 @@ def pages_until_marker(t):
 def blocked_pages(t):
     html_text = F.when(F.col("value") > 100, F.lit("Access Denied " * 30)).otherwise(F.lit("plain words on a page " * 20))
     return t.events().select("event_id", F.when(text.is_blocked(F.lit(200), html_text), "blocked").otherwise("fine").alias("state"))
+
+
+# Reports, maintenance and sources that no query above runs
+@query("""WITH c AS (SELECT feed, lang, count(*) AS u, count(CASE WHEN title IS NOT NULL AND title <> '' THEN 1 END) AS w FROM normalized_v GROUP BY 1, 2), s AS (SELECT feed, CAST(sum(u) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS whole, max(u) AS most FROM c GROUP BY 1)
+SELECT *, n >= 5 AND whole = n AND NOT (n >= 3 AND most * 2 > n) AS ok FROM s""")
+def parser_report(t):
+    return quality.parser_check(t.normalized(), "feed", ["title"], "lang", 5)
+
+
+@query(f"SELECT document_id, file_url FROM document_v WHERE file_url IS NOT NULL ORDER BY {_HASH.format('document_id')} LIMIT 40")
+def link_check_sample(t):
+    return quality.link_sample(t.document(), "document_id", "file_url", 40, 7).select("document_id", "file_url")
+
+
+@query("SELECT count(*) AS rows, count(CASE WHEN document_id % 4 = 0 THEN 1 END) AS needs_download, count(*) - count(file_url) AS no_file, count(*) - count(published_date) AS no_date FROM document_v")
+def adapter_totals(t):
+    return quality.adapter_totals(t.document().withColumn("needs_download", F.col("document_id") % 4 == 0))
+
+
+@query("""WITH r AS (SELECT document_id AS run_id, min(ts) AS started_at, max(ts) AS finished_at FROM event_v GROUP BY 1), o AS (SELECT document_id AS run_id, count(*) AS sources, CAST(sum(k % 5) AS BIGINT) AS ingested, count(CASE WHEN k % 3 = 0 THEN 1 END) AS errors FROM event_v WHERE document_id % 2 = 0 GROUP BY 1)
+SELECT run_id, CAST(floor(epoch(finished_at) - epoch(started_at)) AS BIGINT) AS seconds, coalesce(sources, 0) AS sources, coalesce(ingested, 0) AS ingested, coalesce(errors, 0) AS errors, coalesce(sources = errors, false) AS failed FROM r LEFT JOIN o USING (run_id)""")
+def run_history(t):
+    e = t.events()
+    runs = e.groupBy(F.col("document_id").alias("run_id")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"))
+    results = e.filter("document_id % 2 = 0").select(F.col("document_id").alias("run_id"), F.when(F.col("k") % 3 == 0, "ERROR").otherwise("SUCCESS").alias("status"), (F.col("k") % 5).alias("ingested"))
+    return changes.run_history(changes.run_log(runs), results).drop("started_at").withColumn("seconds", F.floor("seconds"))
+
+
+@query("SELECT tag_id, CASE WHEN regulator_id % 2 = 0 THEN upper(concept) END AS concept FROM tag_v")
+def relinked_tags(t):
+    tags = t.tag().withColumn("name", F.concat_ws("/", "name", "tag_id"))  # names of their own, so that no two concepts claim one
+    rows = tags.filter("concept IS NOT NULL AND regulator_id % 2 = 0").select("regulator_id", "facet", "name", F.upper("concept").alias("concept"))
+    return maintain.relink_whole(tags, rows).select("tag_id", "concept")
+
+
+_CENSUS = f"""WITH h AS (SELECT doc_id, feed, coalesce(n_chars < 1000, false) AS short, row_number() OVER (PARTITION BY n_chars < 1000 ORDER BY {_HASH.format('doc_id')}) AS r FROM normalized_v WHERE feed = 'src0'),
+c AS (SELECT least(30, count(CASE WHEN short THEN 1 END)) AS na, least(30, count(*) - count(CASE WHEN short THEN 1 END)) AS nb FROM h), k AS (SELECT least(greatest(15, 30 - nb), na) AS ta, nb FROM c)
+SELECT doc_id, feed FROM h, k WHERE (short AND r <= ta) OR (NOT short AND r <= least(30 - ta, nb)) UNION ALL SELECT doc_id, feed FROM normalized_v WHERE feed IN ('src1', 'src2')"""
+
+
+@query(_CENSUS)
+def census_sample(t):
+    return sample.census_and_sample(t.normalized(), "feed", ["src1", "src2"], "src0", "doc_id", F.col("n_chars") < 1000, 30, 7).select("doc_id", "feed")
+
+
+@query("SELECT page_id FROM pages WHERE page_id = 1 UNION ALL SELECT page_id FROM (SELECT page_id FROM pages WHERE page_id <> 1 ORDER BY sha1('7|' || page_id), page_id LIMIT 9)")
+def page_sample(t):
+    return sample.pages(t.raw("pages"), "page_id", 10, 7).select("page_id")
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name ELSE p_name || '/' || p_brand END AS ref_no, CASE p_size % 3 WHEN 0 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS tender_id FROM part")
+def reference_cells(t):
+    k = F.col("p_size") % 3
+    s = text.reference_segments(F.when(k == 0, F.col("p_name")).when(k == 1, F.concat_ws("/", "p_name", "p_partkey")).otherwise(F.concat_ws("/", "p_name", "p_brand", "p_partkey")))
+    return t.raw("part").select("p_partkey", s["ref_no"].alias("ref_no"), s["tender_id"].alias("tender_id"))
+
+
+@query("SELECT p_partkey, 'https://h/list' || CASE WHEN p_size % 2 = 0 THEN '' ELSE '?page=x' END AS feed FROM part")
+def listing_feeds(t):
+    url = F.concat(F.lit("https://h/list?page="), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("x"))
+    return t.raw("part").select("p_partkey", urls.without_page(url).alias("feed"))
+
+
+@query(f"""WITH s AS ({_STATUS_TAGS}) SELECT regulator_id, array_to_string(list_sort(applies_to), '|') AS scope, CAST(to_json(list({{'value': name, 'meaning': ''}} ORDER BY name)) AS VARCHAR) AS tags FROM s GROUP BY 1, 2""")
+def prompt_status_groups(t):
+    return ingest.prompt_status_groups(_status_tags(t).withColumn("facet", F.lit("STATUS")).withColumn("definition", F.lit(None).cast("string")))
+
+
+def _stored_and_new(t):
+    row = lambda df: df.select(F.col("document_id").alias("id"), F.col("status"), (F.col("k") % 4).cast("string").alias("subject"), F.when(F.col("value") > 50, "a").otherwise("b").alias("instrument_type"), "kept", F.col("ts").alias("ingested_at"))
+    e = t.events()
+    store = row(dedup.one_per_key(e, ["document_id"], ["ts", "event_id"])).withColumn("etag", F.lit("old")).withColumn("last_checked", F.lit(None).cast("timestamp"))
+    return store.filter("id % 5 <> 0"), row(dedup.one_per_key(e, ["document_id"], ["ts", "event_id"], last=True)).filter("id % 7 <> 0")
+
+
+_SN = """WITH x AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS z FROM event_v),
+f AS (SELECT document_id AS id, status, CAST(k % 4 AS VARCHAR) AS subject, CASE WHEN value > 50 THEN 'a' ELSE 'b' END AS instrument_type, CAST(CAST(kept AS INTEGER) AS VARCHAR) AS kept, ts FROM x WHERE a = 1 AND document_id % 5 <> 0),
+l AS (SELECT document_id AS id, status, CAST(k % 4 AS VARCHAR) AS subject, CASE WHEN value > 50 THEN 'a' ELSE 'b' END AS instrument_type, CAST(CAST(kept AS INTEGER) AS VARCHAR) AS kept, ts FROM x WHERE z = 1 AND document_id % 7 <> 0)"""
+
+
+@query(_SN + """, p AS (SELECT f.id, 'subject' AS field_changed, f.subject AS old_value, l.subject AS new_value FROM f JOIN l USING (id) UNION ALL SELECT f.id, 'instrument_type', f.instrument_type, l.instrument_type FROM f JOIN l USING (id)
+UNION ALL SELECT f.id, 'status', f.status, l.status FROM f JOIN l USING (id) UNION ALL SELECT f.id, 'kept', f.kept, l.kept FROM f JOIN l USING (id))
+SELECT id AS document_id, field_changed, old_value, new_value FROM p WHERE old_value IS DISTINCT FROM new_value""")
+def captured_changes(t):
+    store, batch = _stored_and_new(t)
+    return changes.capture(store, batch, F.lit(ASOF).cast("timestamp"))[1].drop("changed_at")
+
+
+@query(_SN + " SELECT id, coalesce(l.status, f.status) AS status, coalesce(l.subject, f.subject) AS subject, coalesce(f.ts, l.ts) AS ingested_at, CASE WHEN f.id IS NOT NULL THEN 'old' END AS etag, l.id IS NOT NULL AS checked FROM f FULL JOIN l USING (id)")
+def captured_store(t):
+    store, batch = _stored_and_new(t)
+    after = changes.capture(store, batch, F.lit(ASOF).cast("timestamp"))[0]
+    return after.select("id", "status", "subject", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"), "etag", F.col("last_checked").isNotNull().alias("checked"))
+
+
+@query("SELECT event_id AS document_id, CASE WHEN event_id % 4 = 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 'm2' ELSE 'm' END AS last_modified FROM event_v WHERE event_id % 10 <> 9")
+def touched_fingerprints(t):
+    e, k, i = t.events(), F.col("k"), F.col("event_id")
+    items = e.select(i.alias("document_id"), F.when(i % 4 == 0, "https://x/A.PDF").otherwise("https://x/page").alias("url"), (k % 5 != 0).alias("head_ok"), F.concat(F.lit("e"), k % 2).alias("etag"), F.lit("m2").alias("last_modified"))
+    store = e.filter("event_id % 10 <> 9").select(i.alias("document_id"), F.lit("e0").alias("etag"), F.lit("m").alias("last_modified"), F.lit(None).cast("timestamp").alias("last_checked"))
+    after = changes.touch_checked(store, items, changes.fingerprints(items, store), F.lit(ASOF).cast("timestamp"), "document_id")
+    return after.select("document_id", "last_modified")
+
+
+_SOURCES = [("A", "tender-listing", ["[BLOCKED]"], 20 * registry.MINUTES, None), ("B", "case-orders", [], registry.DEFAULT_TIMEOUT, "a first run reads everything"), ("C", "file-only-feed", ["refused", "403"], registry.DEFAULT_TIMEOUT, None)]
+
+
+@query("SELECT * FROM (VALUES ('A', 'tender-listing', CAST(1200000 AS BIGINT), NULL), ('B', 'case-orders', 2700000, 'a first run reads everything'), ('C', 'file-only-feed', 2700000, NULL)) v(code, adapter, timeout_ms, skipped)")
+def source_plan(t):
+    return registry.planned(registry.registry(t.spark, [registry.registration(*s) for s in _SOURCES]), "schedule")
+
+
+@query("""WITH r AS (SELECT event_id, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS code, k, value FROM event_v)
+SELECT event_id, CASE WHEN value > 90 AND code = 'A' THEN 'ERROR' WHEN code <> 'B' AND k % 2 = 0 AND k % 5 = 0 THEN 'BLOCKED' WHEN code <> 'B' AND k % 2 = 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS run_status FROM r""")
+def source_outcomes(t):
+    sources = registry.registry(t.spark, [registry.registration(*s) for s in _SOURCES])
+    k = F.col("k")
+    code = F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("C")
+    said = F.when(k % 2 == 0, F.concat(F.lit("page 1 "), F.when(code == "A", "[BLOCKED]").otherwise("refused"))).otherwise("fine")
+    outputs = t.events().select(code.alias("code"), said.alias("output"), (k % 5).alias("found"), F.lit(0).alias("failed"), F.when(F.col("value") > 90, 1500).otherwise(60).alias("seconds"), F.lit(None).cast("string").alias("error"), "event_id")
+    rows = outputs.join(F.broadcast(sources), "code")
+    return rows.select("event_id", registry.status_of(rows).alias("run_status"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN 'NIT 12/2024 (' || p_name || ')' ELSE p_name END AS title, CASE WHEN p_size % 2 = 0 THEN 'positive' ELSE 'draft' END AS tone, 'https://h/a/' || p_partkey AS url FROM part")
+def organisations_tones_links(t):
+    k = F.col("p_size") % 3
+    title = text.title_with_organisation(F.when(k == 0, F.col("p_name")).when(k == 1, "NIT 12/2024").otherwise(""), F.when(k != 0, F.col("p_name")))
+    tone = urls.status_tone(F.when(F.col("p_size") % 2 == 0, "In Force (amended)").otherwise("Draft / Open"))
+    return t.raw("part").select("p_partkey", title.alias("title"), tone.alias("tone"), urls.absolute(F.lit("https://h/a/b"), F.col("p_partkey").cast("string")).alias("url"))
+
+
+@query("SELECT document_id, '01-01-' || year(published_date) AS first_day, published_date AS said FROM document_v WHERE published_date IS NOT NULL", "said")
+def years_and_title_days(t):
+    d = F.col("published_date")
+    title = F.concat(F.lit("Order of "), F.when(F.col("document_id") % 2 == 0, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "d.M.yyyy")), F.lit(" and 31/12/1999"))
+    return t.document().filter(d.isNotNull()).select("document_id", dates.bare_year_to_first(F.year(d).cast("string")).alias("first_day"), dates.day_first_in_title(title).alias("said"))
+
+
+@query("SELECT document_id, CASE WHEN document_id % 3 = 0 THEN published_date END AS d, document_id % 3 = 1 AS unparseable FROM document_v WHERE published_date IS NOT NULL", "d")
+def published_flags(t):
+    k = F.col("document_id") % 3
+    d, bad = ingest.published(F.when(k == 0, F.date_format("published_date", "yyyy-M-d")).when(k == 1, F.date_format("published_date", "MMMM yyyy")).otherwise(""))
+    return t.document().filter("published_date IS NOT NULL").select("document_id", d.alias("d"), F.coalesce(bad, F.lit(False)).alias("unparseable"))
+
+
+@query("SELECT document_id AS run_id, min(CAST(k % 3 = 0 AS INTEGER)) = 1 AS failed FROM event_v GROUP BY 1")
+def failed_jobs(t):
+    return quality.job_failed(t.events().select(F.col("document_id").alias("run_id"), F.when(F.col("k") % 3 == 0, "ERROR").otherwise("SUCCESS").alias("status")))
+
+
+@query("SELECT event_id, CASE k % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS score FROM event_v")
+def list_scores(t):
+    item = lambda *keys: "{" + ", ".join(f'"{x}": "1"' for x in keys) + "}"
+    k = F.col("k") % 3
+    body = F.when(k == 0, F.lit("[" + ", ".join([item("title", "pub_date")] * 2) + "]")).when(k == 1, F.lit('{"data": [' + ", ".join([item("name", "x")] * 2) + "]}")).otherwise(F.lit('{"data": [' + item("title", "date") + "]}"))
+    return t.events().select("event_id", quality.document_list_score(body).alias("score"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS n, 'first' AS label FROM part")
+def distinct_link_labels(t):
+    link = lambda u, label: F.struct(u.alias("url"), F.lit(label).alias("label"))
+    links = F.array(link(F.lit("u"), "first"), link(F.lit("u"), "again"), link(F.when(F.col("p_size") % 2 == 0, "v").otherwise("u"), "other"))
+    kept = dedup.distinct_links(links)
+    return t.raw("part").select("p_partkey", F.size(kept).cast("int").alias("n"), kept[0]["label"].alias("label"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS name, p_size FROM part UNION ALL SELECT p_partkey + 1000000, p_brand, NULL FROM part WHERE p_partkey % 10 = 0")
+def upserted_parts(t):
+    part = t.raw("part")
+    new = part.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("p_size"))
+    more = part.filter("p_partkey % 10 = 0").select((F.col("p_partkey") + 1000000).alias("p_partkey"), F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("p_size"))
+    return maintain.upsert(part.select("p_partkey", F.col("p_name").alias("name"), "p_size"), new.union(more), ["p_partkey"])
+
+
+@query("SELECT DISTINCT name, parent FROM (SELECT p_brand AS name, p_type AS parent FROM part)")
+def orphan_names(t):
+    return maintain.orphans(t.raw("part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("parent")).distinct(), "parent", "name").select("name", "parent")
+
+
+@query("SELECT document_id, min(event_id) AS event_id FROM event_v WHERE document_id % 3 <> 0 GROUP BY 1")
+def unseen_items(t):
+    from .sources import files
+
+    e = t.events().select("document_id", "event_id")
+    return files.unseen(e, e.filter("document_id % 3 = 0").select("document_id").distinct(), "document_id", ["event_id"])
+
+
+@query("SELECT entry_id, status FROM entry_v WHERE document_id % 40 = 0 AND status IS NOT NULL")
+def files_round_trip(t):
+    """Entries of some documents through a JSON file, a CSV file and a store copy, which drops what is not kept."""
+    from .sources import files
+
+    base = scratch(t.spark, "files")
+    rows = t.entry().filter("document_id % 40 = 0").select("entry_id", "status", F.col("status").isNotNull().alias("kept"))
+    files.write_json(rows, f"{base}/json")
+    read = t.spark.read.schema(rows.schema).json(f"{base}/json")
+    files.write_csv(read, f"{base}/csv", ["entry_id", "status", "kept"])
+    files.csv(t.spark, f"{base}/csv", ["entry_id", "status", "kept"]).write.parquet(f"{base}/store")
+    return files.store(t.spark, path=f"{base}/store").select("entry_id", "status")
+
+
+@query("""SELECT 'order-' || o_orderkey AS source_id, 'Petition [Case No. ' || o_orderkey || ']' AS title, CASE o_orderkey % 3 WHEN 0 THEN 'Repealed' WHEN 1 THEN 'Draft' END AS status_hint, 'terms | section' AS category_hint FROM orders""")
+def case_orders_normalized(t):
+    k = F.col("o_orderkey")
+    feed = F.when(k % 3 == 0, "regulations_repealed_x").when(k % 3 == 1, "regulations_draft").otherwise("orders")
+    raw = t.raw("orders").select(feed.alias("feed"), F.concat(F.lit("order-"), k).alias("source_id"), F.lit("Petition").alias("title"), k.cast("string").alias("case_no"), F.lit("https://h/p").alias("source_url"), F.lit("2024-01-01").alias("published_date"), F.lit("https://h/f.pdf").alias("file_url"), F.lit("terms").alias("terms"), F.lit("section").alias("section"), F.lit("now").alias("scraped_at"))
+    return ingest.ADAPTERS["case-orders"](raw).select("source_id", "title", "status_hint", "category_hint")
+
+
+@query("SELECT 'id-' || p_partkey AS source_id, CASE p_partkey % 3 WHEN 0 THEN '2024-03-05' WHEN 1 THEN 'soon' END AS published_date, p_partkey % 2 = 0 AS needs_download, CASE WHEN p_partkey % 2 = 0 THEN 'pdf' END AS file_extension_hint FROM part")
+def detail_pages_normalized(t):
+    k = F.col("p_partkey")
+    raw = t.raw("part").select(F.concat(F.lit("id-"), k).alias("id"), F.col("p_name").alias("title"), F.lit("https://h/d").alias("link"), F.when(k % 2 == 0, "https://h/f.pdf").otherwise("").alias("pdf_link"), F.when(k % 3 == 0, "Mar 5, 2024").when(k % 3 == 1, "soon").otherwise("").alias("date"), F.lit("c").alias("category"), F.lit("now").alias("scraped_at"))
+    return ingest.ADAPTERS["detail-page-feed"](raw).select("source_id", "published_date", "needs_download", "file_extension_hint")

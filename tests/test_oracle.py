@@ -42,7 +42,8 @@ def test_equals_duckdb(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_runs(spark, small, name):
-    assert queries.QUERIES[name](spark, small).count() >= 0
+    """Queries without SQL give rows; tests/test_more.py compares them with plain Python."""
+    assert queries.QUERIES[name](spark, small).count() > 0
 
 
 def test_entry(spark):
