@@ -142,13 +142,13 @@ def nested(rows: DataFrame, tag: DataFrame) -> DataFrame:
 
 
 def tag_options(tag: DataFrame, regulator: str | list[int] | None = None, include_inactive: bool = False) -> DataFrame:
-    """Subject and instrument tags, active only unless asked, by regulator and name."""
+    """Subject and instrument tags, active only unless asked, by regulator and by name in the order of a locale."""
     rows = tag.filter(F.col("facet").isin("SUBJECT", "INSTRUMENT_TYPE"))
     if not include_inactive:
         rows = rows.filter(F.col("status") == "ACTIVE")
     if regulator is not None:
         rows = rows.filter(F.col("regulator_id").isin([int(r) for r in to_list(regulator)]))
-    return rows.select("facet", "regulator_id", "name", "tag_id").orderBy("facet", "regulator_id", "name", "tag_id")
+    return rows.select("facet", "regulator_id", "name", "tag_id").orderBy("facet", "regulator_id", F.collate("name", "UNICODE"), "tag_id")
 
 
 def tag_page(rows: DataFrame, tag: DataFrame, tag_id: str, facet: str) -> DataFrame:

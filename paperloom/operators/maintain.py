@@ -91,12 +91,14 @@ def clear_dates(rows: DataFrame, events: DataFrame, key: str, column: str) -> Da
 def review_decisions(decisions: DataFrame, entry: DataFrame, tag: DataFrame) -> DataFrame:
     """entry_id, outcome: accepted, entry_not_found, missing_tag, bad_subject or bad_instrument.
 
-    decisions: entry_id, subject_id, instrument_id. Both tags must be given and belong to the entry's regulator and facet.
+    decisions: entry_id, subject_id, instrument_id, and regulator_id where it is known already; else it is that of the
+    entry. Both tags must be given and belong to the regulator and their facet.
     """
-    e = entry.select("entry_id", "regulator_id")
+    if "regulator_id" not in decisions.columns:
+        decisions = decisions.join(entry.select("entry_id", "regulator_id"), "entry_id", "left")
     s = tag.filter("facet = 'SUBJECT'").select(F.col("tag_id").alias("subject_id"), "regulator_id", F.lit(True).alias("_s"))
     i = tag.filter("facet = 'INSTRUMENT_TYPE'").select(F.col("tag_id").alias("instrument_id"), "regulator_id", F.lit(True).alias("_i"))
-    rows = decisions.join(e, "entry_id", "left").join(s, ["subject_id", "regulator_id"], "left").join(i, ["instrument_id", "regulator_id"], "left")
+    rows = decisions.join(s, ["subject_id", "regulator_id"], "left").join(i, ["instrument_id", "regulator_id"], "left")
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     outcome = F.when(F.col("regulator_id").isNull(), "entry_not_found").when(blank("subject_id") | blank("instrument_id"), "missing_tag").when(F.col("_s").isNull(), "bad_subject").when(F.col("_i").isNull(), "bad_instrument").otherwise("accepted")
     return rows.select("entry_id", "subject_id", "instrument_id", outcome.alias("outcome"))

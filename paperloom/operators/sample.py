@@ -26,7 +26,7 @@ def quotas(weights: DataFrame, n: int, stratum: str = "stratum", weight: str = "
 
 
 def stratified(rows: DataFrame, stratum: str, id_col: str, weights: DataFrame, n: int, seed: int) -> DataFrame:
-    """Rows of each stratum up to its quota, capped by what it holds. Strata are few; each task keeps its best rows first.
+    """Rows of each stratum up to its quota, capped by what it holds. Each task keeps its best rows first.
 
     A stratum's rows pass a window in hash order; rows that cannot be drawn (beyond n by hash in their own sub-group
     of 1/64) are dropped before it, so a hot stratum sends at most 64 n rows.
@@ -34,7 +34,7 @@ def stratified(rows: DataFrame, stratum: str, id_col: str, weights: DataFrame, n
     q = quotas(weights, n, stratum, "weight").select(stratum, "quota")
     order = [hash_order(id_col, seed), F.col(id_col)]
     salted = Window.partitionBy(stratum, F.pmod(F.xxhash64(id_col), F.lit(64))).orderBy(*order)
-    small = rows.withColumn("_s", F.row_number().over(salted)).filter(F.col("_s") <= n).drop("_s").join(F.broadcast(q), stratum)
+    small = rows.withColumn("_s", F.row_number().over(salted)).filter(F.col("_s") <= n).drop("_s").join(q, stratum)
     return small.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).filter("_r <= quota").drop("_r", "quota")
 
 
@@ -56,11 +56,24 @@ def census_and_sample(rows: DataFrame, stratum: str, census: list[str], sampled:
     return rows.filter(F.col(stratum).isin(census)).unionByName(part)
 
 
-def systematic(rows: DataFrame, stratum: str, position: str, n: int = 10) -> DataFrame:
-    """Every (count div n)-th row of a stratum by position, n at most."""
-    w = Window.partitionBy(stratum)
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(position)) - 1).withColumn("_step", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n)))
-    return out.filter((F.col("_i") % F.col("_step") == 0) & (F.col("_i") / F.col("_step") < n)).drop("_i", "_step")
+def systematic(rows: DataFrame, stratum: str, position: str, n: int = 10, pieces: int = 64) -> DataFrame:
+    """Every (count div n)-th row of a stratum by position, n at most.
+
+    A stratum is cut into pieces by quantiles of its positions. Only piece counts are summed over a stratum, and only the
+    pieces that hold a wanted rank are ordered, so a hot stratum is never sorted as a whole. Null positions take no part.
+    """
+    rows = rows.filter(F.col(position).isNotNull())
+    cuts = F.percentile_approx(position, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("_cuts")
+    strata = rows.groupBy(F.col(stratum).alias("_s")).agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).alias("_step"), cuts)
+    placed = rows.join(strata, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(position)))).drop("_cuts")
+    sizes = placed.groupBy("_s", "_piece", "_step").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = sizes.withColumn("_before", before).withColumn("_next", F.ceil(F.col("_before") / F.col("_step")) * F.col("_step"))
+    wanted = wanted.filter((F.col("_next") < F.col("_before") + F.col("_n")) & (F.col("_next") < F.col("_step") * n)).select(F.col("_s").alias("_w"), F.col("_piece").alias("_p"), "_before")
+    held = placed.join(wanted, F.col("_s").eqNullSafe(F.col("_w")) & (F.col("_piece") == F.col("_p")))
+    rank = F.row_number().over(Window.partitionBy("_s", "_piece").orderBy(position)) - 1 + F.col("_before")
+    out = held.withColumn("_i", rank).filter((F.col("_i") % F.col("_step") == 0) & (F.col("_i") / F.col("_step") < n))
+    return out.select(*rows.columns)
 
 
 def pages(rows: DataFrame, page_col: str, n: int, seed: int) -> DataFrame:

@@ -558,7 +558,7 @@ SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN coalesce(d.subject_id, '')
 FROM d LEFT JOIN tag_v s ON s.tag_id = d.subject_id AND s.facet = 'SUBJECT' AND s.regulator_id = d.regulator_id LEFT JOIN tag_v i ON i.tag_id = d.instrument_id AND i.facet = 'INSTRUMENT_TYPE' AND i.regulator_id = d.regulator_id) GROUP BY 1""")
 def review_resolution(t):
     entries = t.entry().join(t.document(), "document_id")
-    decisions = entries.filter("needs_review").select("entry_id", F.when(F.col("confidence") < 0.7, F.concat(F.lit("S-"), F.col("part_key") + 25)).otherwise(F.col("subject_id")).alias("subject_id"), "instrument_id")
+    decisions = entries.filter("needs_review").select("entry_id", "regulator_id", F.when(F.col("confidence") < 0.7, F.concat(F.lit("S-"), F.col("part_key") + 25)).otherwise(F.col("subject_id")).alias("subject_id"), "instrument_id")
     return maintain.review_decisions(decisions, entries, t.tag()).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
