@@ -6,6 +6,9 @@ encodes in one parallel batch; at each join of two halves a window of tokens on
 anew, and doubled until its first token equals the left side's and its last token the right side's. Neighbouring
 tokens of a BPE result stay neighbours in any longer text, so agreement at both edges makes the joined ids exact.
 
+The split and the byte alphabet are those of the plain byte-level BPE; a file that asks for more (a normalizer, a prefix
+space, another split or model, added tokens that strip) raises an error.
+
 Null texts count as empty and give no ids; repeated rows give repeated results; empty tables give empty results.
 """
 
@@ -41,13 +44,29 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check(spec: dict) -> None:
+    """Raises for a tokenizer file that this module would not encode as the library does: see the docstring above."""
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    marks = ("single_word", "lstrip", "rstrip", "normalized")
+    wrong = [
+        (spec.get("normalizer") is not None, "a normalizer"),
+        (split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True), "another split than the plain byte-level one"),
+        (model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")), "another model than plain BPE"),
+        (any(a.get(k) for a in spec["added_tokens"] for k in marks), "added tokens with rules of their own"),
+    ]
+    if found := [why for bad, why in wrong if bad]:
+        raise ValueError(f"unsupported tokenizer file: {', '.join(found)}")
+
+
 class Codec:
     def __init__(self, path: str, leaf: int = 256, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.leaf, self.most, self.cache = leaf, cache, {}
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        check(spec)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         newline = self.library(["\n"])[0]
