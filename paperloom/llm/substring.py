@@ -7,17 +7,20 @@ windows repeat across documents are looked at again:
 * at each length a full window is stood for by its shorter window with the least hash, so equal full windows name
   equal short ones and a quarter of the positions or so are sent;
 * a task first compares what it holds: hashes in several of its documents are settled there and each hash leaves the
-  task once, however many documents share it. Hashes go, packed in arrays, to the parts that own them; a part settles
-  what two tasks share, and sends the positions to the parts that own the documents. Documents with repeated windows
-  go on to the next length;
+  task once, however many documents share it. Hashes go, packed in arrays, to the buckets that own them; a bucket
+  settles what two tasks share, and sends the positions to the buckets that own the documents. Documents with repeated
+  windows go on to the next length, until no candidate survives or the window is reached;
 * at the full length the smallest id of each hash decides. ``repeats`` goes on doubling beyond the window until no
   candidate survives, to say how long the repeated passages are.
 
-Only hashes, ids and positions are shuffled; texts are read again for the documents that survive. Hashes have 64 bits.
+There is a bucket for each BUCKET bytes of text. A task takes its buckets one after the other, in the order in which Spark
+sorts them, and holds one, whatever the size of the corpus. Only hashes, ids and positions are shuffled; texts are read
+again for the documents that survive. Windows are compared by 96 bits at the full length, where they decide, and by 64
+below it, where a collision only keeps a candidate longer.
 
-Null texts have no words. Rows with a null id take no part and keep their text. Repeated rows (an id names one
-document) do not count as other documents and both are returned. Texts shorter than the window keep all words; empty
-tables give empty results.
+Null texts have no words. Rows with a null id take no part and keep their text, and so do rows that share an id but not a
+text. Repeated rows are one document and all returned. Texts shorter than the window keep all words; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -31,13 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, per_text, steps, tasks, texts_of, tidied, windows, written
+from .common import hash_words, mix, per_text, steps, tasks, texts_of, tidied, windows, written
 
 #: Hashes that a task compares at once (40 bytes each).
 HELD = 1_500_000
 #: Ids up to which the wanted ones are broadcast (16 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 SHORTEST = 10
+#: Bytes of text to a bucket of hashes, and settled runs that a task collects before it deals them out.
+BUCKET = 8 << 20
+SETTLED = 500_000
+#: Rows of a batch.
+ROWS = 64
 
 
 def lengths(window: int) -> list[int]:
@@ -71,23 +79,35 @@ def positions_of(runs: list[int], n: int) -> np.ndarray:
     return mask
 
 
+def checks(h: np.ndarray, window: int) -> np.ndarray:
+    """Another 32 bits of each window of word hashes, independent of ``windows``."""
+    n = len(h) - window + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(window if n > 0 else 0):
+        out = (out ^ h[i : i + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(31)
+    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+
+
 class Level:
-    """Compares the windows of one length inside a task. Rows: part, hashes, pos, several, ids, ends.
+    """Compares the windows of one length inside a task. Rows: bucket, hashes, checks, pos, several, ids, ends.
 
-    Packed rows go to the parts that own their hashes. several marks a hash that the task has in more than one
+    Packed rows go to the buckets that own their hashes. several marks a hash that the task has in more than one
     document; at the last level each hash leaves the task with its smallest document only. Positions that are settled
     here (below the last level: repeated; at it: removed) travel with them as ``ids`` with start ``pos`` and ``ends``.
     """
 
-    def __init__(self, length: int, before: int | None, window: int, id_type: pa.DataType, parts: int):
-        self.length, self.before, self.window, self.id_type, self.parts = length, before, window, id_type, parts
+    def __init__(self, length: int, before: int | None, window: int, id_type: pa.DataType, buckets: int):
+        self.length, self.before, self.window, self.id_type, self.buckets = length, before, window, id_type, buckets
         self.last = length == window
+        self.kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type), pa.binary()]
 
-    def picked(self, raw: bytes, marks: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and positions to compare."""
+    def picked(self, raw: bytes, marks: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, checks and positions to compare; checks are zero below the last level."""
         words = raw.split()
+        none = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(words) < self.window:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            return none
         h = hash_words(words)
         alive = None
         if self.before:
@@ -95,18 +115,28 @@ class Level:
             alive = positions_of(marks or [], len(h))[at]
         if self.last:
             pos = np.arange(len(h) - self.window + 1) if alive is None else np.flatnonzero(alive)
-            return windows(h, self.window)[pos], pos
+            return windows(h, self.window)[pos], checks(h, self.window)[pos], pos
         short, at = stand_ins(h, self.length, self.window)
         pos = np.unique(at if alive is None else at[alive])
-        return short[pos], pos
+        return short[pos], np.zeros(len(pos), np.uint32), pos
+
+    def batches(self, rows):
+        held: list[tuple] = []
+        for row in rows:
+            held.append(row)
+            if len(held) == ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), self.kinds)], names=ROW)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), self.kinds)], names=ROW)
 
     def flush(self, held: list[tuple]):
         ids = sorted({x[0] for x in held})
         rank = {x: i for i, x in enumerate(ids)}
         doc = np.repeat([rank[x[0]] for x in held], [len(x[1]) for x in held]).astype(np.int64)
-        hashes, pos = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-        by, doc, new, group, ends = grouped(hashes, doc)
-        hashes, pos = hashes[by], pos[by]
+        hashes, check, pos = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        by, doc, new, group, ends = grouped(hashes, check, doc)
+        hashes, check, pos = hashes[by], check[by], pos[by]
         first = np.flatnonzero(new)
         several = (doc[ends - 1] != doc[first])[group]
         if self.last:
@@ -115,30 +145,34 @@ class Level:
         else:
             sent, settled = ~several | new, several
         id_array = pa.array(ids, self.id_type)
-        yield from self.packed(hashes[sent], doc[sent], pos[sent], several[sent], id_array)
+        yield from self.packed(hashes[sent], check[sent], doc[sent], pos[sent], several[sent], id_array)
         if settled.any():
             who, starts, stops = runs_by(doc[settled], pos[settled])
-            yield settled_row(0, id_array.take(pa.array(who)), starts, stops)
-
-    def packed(self, hashes, doc, pos, several, id_array):
-        part = (hashes % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((pos, doc, part))
-        hashes, doc, pos, several, part = hashes[order], doc[order], pos[order].astype("<i4"), several[order].astype(np.int8), part[order]
-        cut = np.searchsorted(part, np.arange(self.parts + 1))
-        for p in range(self.parts):
-            x, y = cut[p], cut[p + 1]
-            if x < y:
-                yield row_of(p, hashes[x:y].tobytes(), pos[x:y].tobytes(), several[x:y].tobytes(), id_array.take(pa.array(doc[x:y])), None)
+            for at in range(0, len(who), HELD):
+                some = slice(at, at + HELD)
+                # any bucket will do: they pass it on to those of the documents
+                yield int(hashes[0] % np.uint64(self.buckets)), None, None, i4(starts[some]), None, id_array.take(pa.array(who[some])), i4(stops[some])
+
+    def packed(self, hashes, check, doc, pos, several, id_array):
+        bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((pos, doc, bucket))
+        hashes, check, doc, pos, several, bucket = hashes[order], check[order], doc[order], pos[order].astype("<i4"), several[order].astype(np.int8), bucket[order]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+            yield int(bucket[x]), hashes[x:y].tobytes(), check[x:y].tobytes() if self.last else None, pos[x:y].tobytes(), several[x:y].tobytes(), id_array.take(pa.array(doc[x:y])), None
 
     def __call__(self, batches):
+        yield from self.batches(self.sent(batches))
+
+    def sent(self, batches):
         held, size = [], 0
         for part in steps(batches):
             marks = part.column(2).to_pylist() if self.before else [None] * part.num_rows
             for i, raw, mark in zip(part.column(0).to_pylist(), texts_of(part.column(1)), marks):
-                hashes, pos = self.picked(raw, mark)
+                hashes, check, pos = self.picked(raw, mark)
                 if not len(hashes):
                     continue
-                held.append((i, hashes, pos))
+                held.append((i, hashes, check, pos))
                 size += len(hashes)
                 if size >= HELD:
                     yield from self.flush(held)
@@ -147,64 +181,92 @@ class Level:
             yield from self.flush(held)
 
     def compare(self, batches):
-        """Rows of the parts to settled rows, dealt to parts by document once for the whole task."""
-        held: dict[int, list] = {}
+        """Rows sorted by bucket to settled rows, dealt to the buckets of documents."""
+        yield from self.batches(self.settled(batches))
+
+    def settled(self, batches):
         done: list[tuple] = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(1)[i].as_py() is None:
-                    done.append((batch.column(4)[i].values, np.frombuffer(batch.column(2)[i].as_py(), "<i4"), np.frombuffer(batch.column(5)[i].as_py(), "<i4")))
-                else:
-                    held.setdefault(batch.column(0)[i].as_py(), []).append((*(batch.column(c)[i].as_py() for c in (1, 2, 3)), batch.column(4)[i].values))
-        for p in list(held):
-            rows = held.pop(p)
-            hashes, pos, several = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((0, np.uint64), (1, "<i4"), (2, np.int8)))
-            ids, doc = ranked(pa.concat_arrays([r[3] for r in rows]))
-            by, doc, new, group, ends = grouped(hashes, doc)
-            pos, several = pos[by], several[by]
-            first = np.flatnonzero(new)
-            if self.last:
-                settled = doc > doc[first][group]
-            else:
-                again = (doc[ends - 1] != doc[first]) | (np.maximum.reduceat(several, first) > 0)
-                settled = again[group] & (several == 0)
-            if settled.any():
-                who, starts, stops = runs_by(doc[settled], pos[settled])
-                done.append((ids.take(pa.array(who)), starts, stops))
+        size = 0
+        for rows in by_bucket(batches):
+            for r in rows:
+                if r[1] is None:
+                    done.append((r[5], np.frombuffer(r[3], "<i4"), np.frombuffer(r[6], "<i4")))
+                    size += len(r[5])
+            rows = [r for r in rows if r[1] is not None]
+            if rows:
+                found = self.again(rows)
+                if found is not None:
+                    done.append(found)
+                    size += len(found[0])
+            if size >= SETTLED:
+                yield from self.dealt(done)
+                done, size = [], 0
         if done:
-            yield from self.dealt(pa.concat_arrays([d[0] for d in done]), *(np.concatenate([d[i] for d in done]) for i in (1, 2)))
-
-    def dealt(self, ids: pa.Array, starts: np.ndarray, stops: np.ndarray):
-        """Settled runs as one row for each part of documents."""
-        part = np.array([xxhash.xxh3_64_intdigest(str(x)) % self.parts for x in ids.to_pylist()], np.int64)
-        order = np.argsort(part, kind="stable")
-        part, starts, stops, ids = part[order], np.asarray(starts)[order], np.asarray(stops)[order], ids.take(pa.array(order))
-        cut = np.searchsorted(part, np.arange(self.parts + 1))
-        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            x, y = cut[p], cut[p + 1]
-            yield settled_row(p, ids.slice(x, y - x), starts[x:y], stops[x:y])
+            yield from self.dealt(done)
+
+    def again(self, rows: list[tuple]):
+        """Ids, starts and ends of the windows of a bucket that are settled here."""
+        hashes, pos, several = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((1, np.uint64), (3, "<i4"), (4, np.int8)))
+        check = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]) if self.last else np.zeros(len(hashes), np.uint32)
+        ids, doc = ranked(pa.concat_arrays([r[5] for r in rows]))
+        by, doc, new, group, ends = grouped(hashes, check, doc)
+        pos, several = pos[by], several[by]
+        first = np.flatnonzero(new)
+        if self.last:
+            settled = doc > doc[first][group]
+        else:
+            repeated = (doc[ends - 1] != doc[first]) | (np.maximum.reduceat(several, first) > 0)
+            settled = repeated[group] & (several == 0)
+        if settled.any():
+            who, starts, stops = runs_by(doc[settled], pos[settled])
+            return ids.take(pa.array(who)), starts, stops
+
+    def dealt(self, done: list[tuple]):
+        """Settled runs as one row for each bucket of documents."""
+        ids = pa.concat_arrays([d[0] for d in done])
+        starts, stops = (np.concatenate([d[i] for d in done]) for i in (1, 2))
+        bucket = np.array([xxhash.xxh3_64_intdigest(str(x)) % self.buckets for x in ids.to_pylist()], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, starts, stops, ids = bucket[order], starts[order], stops[order], ids.take(pa.array(order))
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        for x, y in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+            yield int(bucket[x]), None, None, i4(starts[x:y]), None, ids.slice(x, y - x), i4(stops[x:y])
 
     def merged(self, batches):
-        """Settled rows of the documents of each part to (id, runs)."""
-        held: dict[int, list] = {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                held.setdefault(batch.column(0)[i].as_py(), []).append((np.frombuffer(batch.column(2)[i].as_py(), "<i4"), np.frombuffer(batch.column(5)[i].as_py(), "<i4"), batch.column(4)[i].values))
-        for p in list(held):
-            rows = held.pop(p)
-            starts, stops = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
-            ids, doc = ranked(pa.concat_arrays([r[2] for r in rows]))
+        """Settled rows, sorted by the documents' buckets, to (id, runs)."""
+        for rows in by_bucket(batches):
+            starts, stops = (np.concatenate([np.frombuffer(r[i], "<i4") for r in rows]) for i in (3, 6))
+            ids, doc = ranked(pa.concat_arrays([r[5] for r in rows]))
             order = np.lexsort((starts, doc))
             flat = np.stack((starts[order], stops[order]), 1).ravel()
             ends = 2 * np.searchsorted(doc[order], np.arange(len(ids) + 1))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=["id", "runs"])
 
 
-def grouped(hashes: np.ndarray, doc: np.ndarray):
-    """Order by (hash, document); documents in it, where groups of a hash begin, each row's group, each group's end."""
-    by = np.lexsort((doc, hashes))
-    sorted_ = hashes[by]
-    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+def i4(x: np.ndarray) -> bytes:
+    return np.asarray(x).astype("<i4").tobytes()
+
+
+def by_bucket(batches):
+    """Rows of batches sorted by bucket, one bucket's at a time; ids stay arrays."""
+    bucket, held = None, []
+    for batch in batches:
+        ids = batch.column(5)
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 6)))):
+            if row[0] != bucket and held:
+                yield held
+                held = []
+            bucket = row[0]
+            held.append((*row[:5], ids[i].values, row[5]))
+    if held:
+        yield held
+
+
+def grouped(hashes: np.ndarray, check: np.ndarray, doc: np.ndarray):
+    """Order by (hash, check, document); documents in it, where groups begin, each row's group, each group's end."""
+    by = np.lexsort((doc, check, hashes))
+    a, b = hashes[by], check[by]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     return by, doc[by], new, np.cumsum(new) - 1, np.concatenate((np.flatnonzero(new)[1:], [len(new)]))
 
 
@@ -227,21 +289,12 @@ def runs_by(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[first], pos[first], pos[last] + 1
 
 
-ROW = ["part", "hashes", "pos", "several", "ids", "ends"]
-
-
-def row_of(part, hashes, pos, several, ids: pa.Array, ends) -> pa.RecordBatch:
-    listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([hashes], pa.binary()), pa.array([pos], pa.binary()), pa.array([several], pa.binary()), listed, pa.array([ends], pa.binary())], names=ROW)
-
-
-def settled_row(part: int, ids: pa.Array, starts, stops) -> pa.RecordBatch:
-    return row_of(part, None, np.asarray(starts).astype("<i4").tobytes(), None, ids, np.asarray(stops).astype("<i4").tobytes())
+ROW = ["bucket", "hashes", "checks", "pos", "several", "ids", "ends"]
 
 
 def _schema(id_type) -> T.StructType:
-    kinds = (("part", T.IntegerType()), ("hashes", T.BinaryType()), ("pos", T.BinaryType()), ("several", T.BinaryType()), ("ids", T.ArrayType(id_type)), ("ends", T.BinaryType()))
-    return T.StructType([T.StructField(a, b) for a, b in kinds])
+    kinds = [T.LongType(), *[T.BinaryType()] * 4, T.ArrayType(id_type), T.BinaryType()]
+    return T.StructType([T.StructField(a, b) for a, b in zip(ROW, kinds)])
 
 
 def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -255,18 +308,29 @@ def repeated_starts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, runs: starts of the document's windows that also start in a document with a smaller id, as start, end pairs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = df.schema[id_col].dataType
+    spark, id_type = df.sparkSession, df.schema[id_col].dataType
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    parts = tasks(df.sparkSession)
+    kinds = docs.select("id", F.xxhash64("text").alias("tk"), F.octet_length("text").alias("size"))
+    kinds = kinds.groupBy("id").agg(F.min("tk").alias("a"), F.max("tk").alias("b"), F.sum("size").alias("size"))
+    total = kinds.agg(F.sum("size").alias("size"), F.count_if(F.col("a") != F.col("b")).alias("several")).first()
+    if total["several"]:
+        several = written(kinds.filter("a != b").select("id"), "several", 8)
+        docs = docs.join(F.broadcast(several) if total["several"] <= BROADCAST_IDS else several, "id", "left_anti")
+    parts = tasks(spark)
+    buckets = max(parts, -(-(total["size"] or 0) // BUCKET))
     runs = T.StructType([T.StructField("id", id_type), T.StructField("runs", T.ArrayType(T.IntegerType()))])
-    rows, before = docs, None
+    schema, rows, before = _schema(id_type), docs, None
+
+    def dealt(sent: DataFrame) -> DataFrame:
+        return sent.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
+
     for length in lengths(window):
-        level = Level(length, before, window, to_arrow_type(id_type), parts)
-        sent = rows.mapInArrow(tidied(level.__call__), _schema(id_type)).repartitionById(parts, "part")
-        settled = sent.mapInArrow(tidied(level.compare), _schema(id_type)).repartitionById(parts, "part")
+        level = Level(length, before, window, to_arrow_type(id_type), buckets)
+        settled = dealt(dealt(rows.mapInArrow(tidied(level.__call__), schema)).mapInArrow(tidied(level.compare), schema))
         marks = written(settled.mapInArrow(tidied(level.merged), runs), f"marks-{length}", 4)
-        if length < window:
-            rows, before = _texts(docs, marks), length
+        if length == window or marks.isEmpty():
+            break
+        rows, before = _texts(docs, marks), length
     return marks
 
 
