@@ -6,17 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# File endings that a browser opens as a document, and hosts of issuing bodies.
+# File endings that a browser opens as a document, addresses of PDF files and of flipbooks, hosts of bodies.
 DOCUMENT = r"(?i)\.(pdf|xlsx|xls|csv|docx?|pptx?)(\?.*)?$"
+PDF = r"(?i)\.pdf(\?.*)?$"
+FLIPBOOK = r"(?i)/flipbook/\d+"
 HOSTS = {"www.isro.gov.in": "ISRO", "isro.gov.in": "ISRO", "www.inspace.gov.in": "IN-SPACe", "inspace.gov.in": "IN-SPACe", "www.nsilindia.co.in": "NSIL", "nsilindia.co.in": "NSIL", "www.dos.gov.in": "DOS", "dos.gov.in": "DOS"}
 
 
 def file_kind(url: Column) -> Column:
-    return F.when(url.isNull() | (url == ""), "none").when(url.rlike(DOCUMENT), "direct-file").when(url.rlike(r"(?i)/flipbook/\d+"), "flipbook").otherwise("external-reference")
+    return F.when(url.isNull() | (url == ""), "none").when(url.rlike(DOCUMENT), "direct-file").when(url.rlike(FLIPBOOK), "flipbook").otherwise("external-reference")
 
 
 def is_pdf(url: Column) -> Column:
-    return F.coalesce(url.rlike(r"(?i)\.pdf(\?.*)?$"), F.lit(False))
+    return F.coalesce(url.rlike(PDF), F.lit(False))
 
 
 def extension(url: Column) -> Column:
