@@ -1,32 +1,5 @@
-"""Connected components by alternating large-star and small-star steps; every round is written to the shared folder."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from ..operators.graph import components, is_forest_of_stars
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def is_forest_of_stars(edges: DataFrame) -> bool:
-    """Whether every node has one edge upwards or only edges that lead to it: then b is a's component."""
-    ends = edges.selectExpr("a AS x", "1 AS up", "0 AS down").union(edges.selectExpr("b AS x", "0 AS up", "1 AS down"))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0").isEmpty()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each node of the edges (a, b) reaches. Nulls and loops are left out.
-
-    Minima are partial sums before the shuffle and are joined back, so the neighbours of a node never meet in one row.
-    """
-    edges = written(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges", 8)
-    while not is_forest_of_stars(edges):
-        both = edges.union(edges.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b")
-        large = large.union(least.filter("a != m").selectExpr("a", "m AS b")).distinct()
-        # now every edge leads to a smaller node
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b != m").selectExpr("b AS a", "m AS b").union(least.selectExpr("a", "m AS b")).distinct()
-        edges = written(small, "edges", 8)
-    return edges.selectExpr("a AS id", "b AS component").union(edges.selectExpr("b AS id", "b AS component").distinct())
+__all__ = ["components", "is_forest_of_stars"]
