@@ -1,8 +1,9 @@
 """Language identification of spans: script ranges narrow the candidates, then Viterbi over per-word scores.
 
 Model: letter trigrams of lower-cased UTF-8, hashed into a fixed table of smoothed log probabilities for each language,
-with the share of each script that a language's training words use. It is fitted on at most ``SAMPLE`` labelled rows
-(a hash of the text picks them; the bound is the only sampling here) and its size is ``SLOTS`` x languages numbers.
+with the share of each script that a language's training words use. It is fitted on at most ``SAMPLE`` labelled rows,
+those with the least hashes of id and text (the bound is the only sampling here), and its size is ``SLOTS`` x languages
+numbers; more than MOST_LANGUAGES labels raise an error. Letters are those of Unicode category L.
 
 A word's score for a language is its sum of trigram log probabilities; a language whose training words hardly use the
 word's script is no candidate. Viterbi picks a language for each word with ``penalty`` for each switch. Most texts
@@ -17,10 +18,9 @@ without a label take no part in training; no labelled row at all gives ``und`` t
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +28,12 @@ from pyspark.sql import types as T
 from .common import per_text, small_batches, steps, texts_of, tidied
 
 SLOTS = 1 << 18
-#: Labelled rows that training reads at most (in expectation of the hash pick).
+#: Labelled rows that training reads at most.
 SAMPLE = 20_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Labels that a model may have; each costs SLOTS numbers on the driver and in every worker.
+MOST_LANGUAGES = 200
+LETTER = regex.compile(r"\p{L}")
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}\x00-\x7f]+")
 # First UTF-8 bytes of scripts' ranges. 0 no letter, 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew, 5 Arabic, 6 South and South-East Asian, 7 kana and Han, 8 Hangul, 9 other.
 SCRIPTS = [(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD6, 0xD7, 4), (0xD8, 0xDD, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 9), (0xE3, 0xE9, 7), (0xEA, 0xED, 8), (0xF0, 0xF4, 9)]
 N_SCRIPTS = 10
@@ -41,10 +44,16 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+def plain(text: str) -> str:
+    """Lower case, with a space for signs beyond ASCII that are no letters or marks: dashes, spaces, emoji, numbers."""
+    text = text.lower()
+    return text if text.isascii() else _NO_LETTERS.sub(" ", text)
+
+
 def trigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the trigrams of a lower-cased text's words, where each word's trigrams start, each word's bytes and script.
 
-    A word is a run of letters (ASCII letters and bytes from 0x80); the bytes before and after it count as spaces.
+    ``raw`` is ``plain`` text: a word is a run of ASCII letters and bytes from 0x80, between which all else is space.
     """
     b = np.frombuffer(b" " + raw + b" ", np.uint8)
     inside = _IN_WORD[b]
@@ -61,12 +70,12 @@ def trigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return code[keep], first, lens, script
 
 
-def pick(df: DataFrame, text_col: str, lang_col: str, sample: int) -> DataFrame:
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    n = rows.count()
-    if n <= sample:
-        return rows
-    return rows.filter(F.pmod(F.xxhash64("_t"), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
+def pick(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int) -> DataFrame:
+    """At most ``sample`` labelled rows (_t, _l), by the least hashes; only hashes are ranked."""
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("_h"))
+    end = rows.select("_h").orderBy("_h").limit(sample + 1).agg(F.max("_h"), F.count("*")).first()
+    return (rows if end[1] <= sample else rows.filter(F.col("_h") < end[0])).drop("_h")
 
 
 class Model:
@@ -80,27 +89,39 @@ class Model:
         self.allowed = (share > 0.001).T if names else None
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, id_col: str = "doc_id") -> Model:
     """Counts are summed on the executors; the driver gets SLOTS and N_SCRIPTS numbers a language at most."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def out():
+            for lang, at in sums.items():
+                i = np.flatnonzero(at)
+                yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(i)), pa.array(i, pa.int64()), pa.array(at[i])], names=["lang", "slot", "n"])
+            sums.clear()
+
         for part in steps(batches, 0):
+            if len(sums) > 32:
+                yield from out()
             for raw, lang in zip(texts_of(part.column(0)), part.column(1).to_pylist()):
-                code, first, _, script = trigrams(raw.decode("utf-8", "replace").lower().encode())
+                code, first, _, script = trigrams(plain(raw.decode("utf-8", "replace")).encode())
                 at = sums.setdefault(lang, np.zeros(SLOTS + N_SCRIPTS, np.int64))
                 if len(first):
                     at[:SLOTS] += np.bincount(code, minlength=SLOTS)
                     at[SLOTS:] += np.bincount(script, minlength=N_SCRIPTS)
-        for lang, at in sums.items():
-            i = np.flatnonzero(at)
-            yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(i)), pa.array(i, pa.int64()), pa.array(at[i])], names=["lang", "slot", "n"])
+        yield from out()
 
     small_batches(df.sparkSession)
-    rows = pick(df, text_col, lang_col, sample).mapInArrow(tidied(run), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    picked = pick(df, text_col, lang_col, id_col, sample)
+    if df.filter(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages in {lang_col}")
+    rows = picked.mapInArrow(tidied(run), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(rows["lang"].unique())
+    place = {x: i for i, x in enumerate(names)}
     counts = np.zeros((len(names), SLOTS + N_SCRIPTS))
-    counts[[names.index(x) for x in rows["lang"]], rows["slot"].to_numpy(int)] = rows["n"]
+    if len(rows):
+        counts[rows["lang"].map(place).to_numpy(int), rows["slot"].to_numpy(int)] = rows["n"]
     return Model(names, counts[:, :SLOTS], counts[:, SLOTS:])
 
 
@@ -133,7 +154,7 @@ class Labeller:
         self.m, self.penalty = model, penalty
 
     def words(self, text: str):
-        code, first, lens, script = trigrams(text.lower().encode())
+        code, first, lens, script = trigrams(plain(text).encode())
         if not len(first):
             return None
         scores = np.add.reduceat(self.m.logp[code].astype(np.float64), first, axis=0)
