@@ -4,7 +4,7 @@ A line without a word is neither judged nor counted. A line with words fails, by
 
 * punctuation: matches of SYMBOLS exceed ``max_symbol_share`` of its words;
 * navigation: two or more separators, at most three words to a separator;
-* boilerplate: it matches a phrase of BOILERPLATE and has at most 20 words;
+* boilerplate: phrases of BOILERPLATE, as whole words, make up half of its words or more;
 * fragment: it has under ``min_line_words`` words and does not end in a mark of END.
 
 A document is rejected by the base rules (under 50 words; over half of its words in repeated 3-word windows), or when
@@ -26,21 +26,37 @@ from .common import hash_words, per_text, windows
 SYMBOLS = r"[#*$%&|<>]|!!"
 SEPARATORS = r"[|>»•·]"
 END = r"[.!?…;:\"'”’»)\]]\s*$"
-BOILERPLATE = r"all rights reserved|privacy policy|terms of (use|service)|cookie|click here|read more|sign (in|up)|log ?in|subscribe|share (this|on)|back to top|skip to (main )?content"
-
-_SYMBOL, _SEP, _END, _BOILER = map(re.compile, (SYMBOLS, SEPARATORS, END, BOILERPLATE))
+BOILERPLATE = {
+    "de": ["alle rechte vorbehalten", "datenschutzerklärung", "datenschutz", "impressum", "nutzungsbedingungen", "hier klicken", "weiterlesen", "mehr lesen", "anmelden", "abmelden", "registrieren", "newsletter abonnieren", "nach oben", "zum inhalt springen", "diese seite verwendet cookies"],
+    "en": ["all rights reserved", "privacy policy", "cookie policy", "terms of use", "terms of service", "terms and conditions", "this site uses cookies", "we use cookies", "accept cookies", "accept all cookies", "click here", "read more", "learn more", "contact us", "sign in", "sign up", "log in", "log out", "subscribe", "subscribe now", "share this", "share on", "back to top", "skip to content", "skip to main content"],
+    "es": ["todos los derechos reservados", "política de privacidad", "aviso legal", "política de cookies", "términos de uso", "haga clic aquí", "leer más", "iniciar sesión", "registrarse", "suscríbete", "compartir en", "volver arriba", "saltar al contenido"],
+    "fr": ["tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici", "lire la suite", "se connecter", "s'inscrire", "s'abonner", "partager sur", "haut de page", "aller au contenu"],
+    "it": ["tutti i diritti riservati", "informativa sulla privacy", "termini di utilizzo", "clicca qui", "leggi tutto", "accedi", "iscriviti", "torna su"],
+    "pt": ["todos os direitos reservados", "política de privacidade", "termos de uso", "clique aqui", "leia mais", "iniciar sessão", "inscreva-se", "voltar ao topo"],
+}
+
+_SYMBOL, _SEP, _END = map(re.compile, (SYMBOLS, SEPARATORS, END))
+_PHRASES = sorted({p for phrases in BOILERPLATE.values() for p in phrases}, key=lambda p: (-len(p), p))
 _SIGNS = b"#*$%&|<>"
 _BLANK = b" \t\n\x0b\x0c\r"
 LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def boilerplate_words(line: str) -> int:
+    """Words of a line that phrases of BOILERPLATE hold, longer phrases first."""
+    line = " ".join(line.lower().split())
+    if not (found := [p for p in _PHRASES if p in line]):
+        return 0
+    return sum(len(m.split()) for m in re.findall(rf"(?<!\w)(?:{'|'.join(map(re.escape, found))})(?!\w)", line))
+
+
 def failure(line: str, n_words: int, max_symbol_share: float = 0.3, min_line_words: int = 4) -> str | None:
     """Name of the first rule that a line with words fails."""
     if len(_SYMBOL.findall(line)) > max_symbol_share * n_words:
         return "punctuation"
     if (seps := len(_SEP.findall(line))) >= 2 and n_words - seps <= 3 * seps:
         return "navigation"
-    if n_words <= 20 and _BOILER.search(line.lower()):
+    if 2 * boilerplate_words(line) >= n_words:
         return "boilerplate"
     if n_words < min_line_words and not _END.search(line):
         return "fragment"
