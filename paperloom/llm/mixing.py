@@ -8,13 +8,14 @@ A source's stream is one permutation of its documents after another. Documents a
 id; each pass orders the blocks and the documents inside a block by hashes of (seed, pass, block or id). Running sums
 over blocks, then inside blocks, give every document's first token in the stream; those that start within the quota
 are taken, the one that crosses its end included, and so is all of a pass that the quota covers, documents without
-tokens at its end too. Only block totals (a thousandth of the documents) meet in a window
-over one source, so a hot source is never sorted as a whole.
+tokens at its end too. Blocks hold some BLOCK_DOCS documents or, in a source of over BLOCK_DOCS^2, as many as it has
+blocks; block totals meet in one window over a source and a block's documents in another, so neither holds more than the
+square root of a hot source. More than MOST_SOURCES sources raise an error: their totals meet in one row.
 
 An entropy that no exponent meets (sources that share the largest total) raises a warning and leaves MOST_ALPHA.
 
 A null source is a source of its own; a null text has no tokens. A source without tokens has weight 0 and is passed
-once. Repeated rows are separate documents. An empty table gives an empty result.
+once. Repeated rows are separate documents; so are rows that share an id, which their lengths and texts order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import WORD, written
 
 ROUNDS = 60
 BLOCK_DOCS = 1000
+MOST_SOURCES = 100_000
 #: First upper end of the exponent for an entropy, doubled up to DOUBLINGS times until the target lies below it.
 MOST_ALPHA = 8.0
 DOUBLINGS = 20
@@ -57,27 +59,32 @@ def weights(totals: DataFrame, target: str, goal: float, budget: float | None) -
     else:
         one = one.withColumn("top", F.lit(1.0)).withColumn("met", F.lit(True))
     one = one.withColumn("r", F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('lo', 0D, 'hi', top), (r, i) -> if({step}, named_struct('lo', {mid}, 'hi', r.hi), named_struct('lo', r.lo, 'hi', {mid})))"))
-    one = one.withColumn("alpha", F.expr("r.hi")).withColumn("z", F.expr("aggregate(s, 0D, (x, t) -> x + pow(t / most, alpha))"))
+    # written, so that the optimizer does not put the bisection wherever alpha is named
+    one = written(one.select("all", "most", "s", "met", F.expr("r.hi").alias("alpha")), "mix-alpha", 8)
+    one = written(one.withColumn("z", F.expr("aggregate(s, 0D, (x, t) -> x + pow(t / most, alpha))")), "mix-sum", 8)
     one = one.withColumn("all", F.expr("transform(all, x -> named_struct('source', x.source, 'tokens', x.tokens, 'docs', x.docs, 'weight', if(x.tokens > 0, pow(x.tokens / most, alpha) / nullif(z, 0D), 0D)))"))
     spent = F.lit(float(budget)) if budget is not None else F.expr("array_max(transform(filter(all, x -> x.tokens > 0), x -> x.tokens / x.weight))")
     one = one.withColumn("budget", F.coalesce(spent, F.lit(0.0)))
     return one.select("alpha", "met", "budget", F.explode("all").alias("x")).select("x.*", "alpha", "met", F.round(F.col("x.weight") * F.col("budget")).cast("long").alias("quota"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: str = "entropy", goal: float = 0.9, budget: float | None = None, seed: int = 0) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: str = "entropy", goal: float = 0.9, budget: float | None = None, seed: int = 0, with_key: bool = False) -> DataFrame:
     """id, source, pass (from 0), start (the document's first token in its source's stream), n_tokens, weight, alpha.
 
-    One row for each time that a document is taken; ordering a source's rows by start gives its stream.
+    One row for each time that a document is taken; ordering a source's rows by start gives its stream. On request also
+    text_key, a hash of the text, and quota.
     """
     if target not in ("entropy", "repeats"):
         raise ValueError("target is entropy or repeats")
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n"), F.xxhash64(F.col(text_col)).alias("tk"))
     docs = written(docs.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")), "mix-tokens")
-    sources = docs.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+    sources = written(docs.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "mix-sources", 8)
+    if sources.count() > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources in {source_col}")
     sources = written(weights(sources, target, goal, budget), "mix-weights", 8)
     if not sources.filter("NOT met").isEmpty():
         warnings.warn(f"no exponent brings these sources to an entropy of {goal}; {MOST_ALPHA} is used", stacklevel=2)
-    sources = sources.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)).withColumn("passes", F.greatest(F.lit(1), F.ceil(F.try_divide("quota", "tokens"))))
+    sources = sources.withColumn("blocks", F.ceil(F.col("docs") / F.greatest(F.lit(BLOCK_DOCS), F.ceil(F.sqrt("docs"))))).withColumn("passes", F.greatest(F.lit(1), F.ceil(F.try_divide("quota", "tokens"))))
     sources = sources.withColumn("source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")))  # a key without nulls
     docs = docs.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))).join(sources.select(F.col("source").alias("key"), "blocks"), "key")
     docs = docs.withColumn("block", F.pmod(F.col("h"), F.col("blocks"))).drop("blocks", "h")
@@ -89,6 +96,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     whole = F.col("quota") >= (F.col("pass") + 1) * F.col("tokens")
     blocks = blocks.withColumn("whole", whole).filter(F.col("whole") | (F.col("b_start") < F.greatest(F.col("quota"), F.lit(1))))
     out = docs.join(blocks.select("key", "block", "pass", "b_start", "whole", "quota", "weight", "alpha"), ["key", "block"])
-    inside = Window.partitionBy("key", "pass", "block").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("pass"), F.col("id"))), "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "pass", "block").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("pass"), F.col("id"))), "id", "n", "tk").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("start", F.col("b_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).filter(F.col("whole") | (F.col("start") < F.greatest(F.col("quota"), F.lit(1))))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "pass", "start", F.col("n").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("alpha", 9).alias("alpha"))
+    more = [F.col("tk").alias("text_key"), "quota"] if with_key else []
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "pass", "start", F.col("n").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("alpha", 9).alias("alpha"), *more)

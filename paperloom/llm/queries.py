@@ -80,27 +80,29 @@ WITH RECURSIVE d AS (
   FROM documents),
 t AS (SELECT key, sum(n) AS tokens, count(*) AS docs FROM d GROUP BY key),
 p AS (SELECT key, tokens, docs, tokens / (SELECT sum(tokens) FROM t) AS p FROM t),
-s AS (SELECT list(p) AS s, count(*) AS k FROM p WHERE tokens > 0),
+s AS (SELECT list(tokens::DOUBLE / (SELECT max(tokens) FROM t)) AS s, count(*) AS k FROM t WHERE tokens > 0),
+g AS (SELECT coalesce(min(h), 8.0) AS top FROM (SELECT 8.0::DOUBLE * pow(2, i) AS h FROM range(21) r(i)), s
+      WHERE NOT ln(list_sum([pow(x, h) FOR x IN s])) - h * list_sum([pow(x, h) * ln(x) FOR x IN s]) / list_sum([pow(x, h) FOR x IN s]) > 0.95 * ln(k)),
 b AS (
-  SELECT 0 AS i, 0.0::DOUBLE AS lo, 8.0::DOUBLE AS hi
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, top::DOUBLE AS hi FROM g
   UNION ALL
   SELECT i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END
   FROM (SELECT i, lo, hi, mid, ln(list_sum([pow(x, mid) FOR x IN s])) - mid * list_sum([pow(x, mid) * ln(x) FOR x IN s]) / list_sum([pow(x, mid) FOR x IN s]) > 0.95 * ln(k) AS up
         FROM (SELECT *, (lo + hi) / 2 AS mid FROM b, s) WHERE i < 60)),
 a AS (SELECT hi AS alpha FROM b WHERE i = 60),
 w AS (SELECT key, tokens, docs, alpha, CASE WHEN tokens > 0 THEN pow(p, alpha) / (SELECT sum(pow(p, alpha)) FROM p, a WHERE tokens > 0) ELSE 0 END AS weight FROM p, a),
-q AS (SELECT *, CAST(round(weight * (SELECT max(tokens / weight) FROM w WHERE tokens > 0)) AS BIGINT) AS quota, CAST(ceil(docs / 1000) AS BIGINT) AS blocks FROM w),
+q AS (SELECT *, CAST(round(weight * (SELECT max(tokens / weight) FROM w WHERE tokens > 0)) AS BIGINT) AS quota, CAST(ceil(docs / greatest(1000, ceil(sqrt(docs)))) AS BIGINT) AS blocks FROM w),
 r AS (SELECT *, greatest(1, CAST(ceil(quota / tokens) AS BIGINT)) AS passes FROM q),
 db AS (SELECT d.*, h % blocks AS block FROM d JOIN r USING (key)),
 bt AS (SELECT key, block, sum(n) AS b_tokens FROM db GROUP BY key, block),
 bp AS (SELECT bt.*, r.tokens, r.quota, r.weight, r.alpha, unnest(range(passes)) AS pass FROM bt JOIN r USING (key)),
 bs AS (SELECT *, pass * tokens + coalesce(sum(b_tokens) OVER (PARTITION BY key, pass ORDER BY md5('0|' || pass || '|' || key || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_start FROM bp),
 o AS (
-  SELECT doc_id, source, pass, quota, n, weight, alpha,
+  SELECT doc_id, source, pass, quota, n, weight, alpha, quota >= (pass + 1) * tokens AS whole,
          b_start + coalesce(sum(n) OVER (PARTITION BY key, pass, block ORDER BY md5('0|' || pass || '|' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM db JOIN bs USING (key, block) WHERE b_start < greatest(quota, 1))
+  FROM db JOIN bs USING (key, block) WHERE quota >= (pass + 1) * tokens OR b_start < greatest(quota, 1))
 SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_tokens, round(weight, 9) AS weight, round(alpha, 9) AS alpha
-FROM o WHERE start < greatest(quota, 1)
+FROM o WHERE whole OR start < greatest(quota, 1)
 """,
     "op9_substring_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
