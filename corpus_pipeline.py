@@ -2,7 +2,8 @@
 
 Stages: drop documents without a language, keep one document of each near-duplicate group, cut passages that an earlier
 document holds too, repeat sources towards target weights, encode. Rows with null ids are kept by the second and third
-stage; null texts have no language and are dropped by the first.
+stage; null texts have no language and are dropped by the first. Rows that share an id but not a text are documents of
+their own.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 PASSAGE_WORDS = 50
 MOST_REPEATS = 2.0
-#: Ids up to which they are broadcast (16 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of documents that links at a similarity of 0.8 join (five-word shingles)."""
-    found = written(jaccard.join(docs, words=5, num=80, den=100), "groups", 8)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return jaccard.one_of_each(docs.select(*COLUMNS), words=5, num=80, den=100)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +40,17 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources up to MOST_REPEATS times as often as those of the largest; none is lost."""
-    taken = mixing.mix(docs, target="repeats", goal=MOST_REPEATS)
-    times = taken.groupBy("doc_id", "source").agg((F.max("pass") + 1).cast("int").alias("_times"))
-    times = times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_times")
-    rows = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    """Repeats documents of small sources up to MOST_REPEATS times as often as those of the largest; none is lost.
+
+    A row for each time that the block permutations take a document. Each partition, and so each file, holds a part of
+    all sources' streams in their order: sources advance alike, by their rows' places in the quota.
+    """
+    taken = mixing.mix(docs, target="repeats", goal=MOST_REPEATS, with_key=True)
+    place = (F.col("start") / F.greatest(F.col("quota"), F.lit(1))).alias("_place")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "pass", place)
+    taken = taken.groupBy("_id", "_source", "_key", "pass").agg(F.min("_place").alias("_place"))  # repeated rows
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.select(*COLUMNS).join(taken, same).sortWithinPartitions("_place", "doc_id", "pass").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
