@@ -39,7 +39,8 @@ from .common import mix, tasks, tidied, written
 
 SAMPLE = 2000
 OCCUPANCY = 64
-LIMIT = 20_000
+#: Vectors of a cell that one part holds.
+LIMIT = 512
 MOST_PROBES = 256
 #: Short queries that are broadcast at once, and compared in one product.
 SCANNED = 20_000
@@ -324,9 +325,11 @@ def search(df: DataFrame, is_query: Callable[[Column], Column], id_col: str = "v
         stored = stored.join(few(full, n_full), "key", "left")
         piece = F.pmod(F.xxhash64("c"), F.coalesce("pieces", F.lit(1)))
         stored = stored.withColumn("part", F.when(F.col("pieces").isNotNull(), F.pmod(F.pmod(F.col("key"), F.lit(parts)) + piece, F.lit(parts)).cast("int")).otherwise(F.col("part")))
-        spread = visiting.select("c", "x", F.explode("keys").alias("key")).join(few(full, n_full), "key").select("c", "x", "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-        spread = spread.select(F.pmod(F.pmod(F.col("key"), F.lit(parts)) + F.col("piece"), F.lit(parts)).cast("int").alias("part"), "c", "x", F.array("key").alias("keys"))
-        visiting = visiting.unionByName(spread.distinct())
+        spread = visiting.select("c", F.explode("keys").alias("key")).join(few(full, n_full), "key")
+        spread = spread.select("c", "key", F.explode(F.sequence(F.lit(0), F.least("pieces", F.lit(parts)) - 1)).alias("piece"))
+        spread = spread.select(F.pmod(F.pmod(F.col("key"), F.lit(parts)) + F.col("piece"), F.lit(parts)).cast("int").alias("part"), "c", "key")
+        spread = spread.groupBy("part", "c").agg(F.collect_list("key").alias("keys"))  # at most as many keys as probes
+        visiting = visiting.unionByName(spread.join(points, "c"))
     both = visiting.select("part", F.lit(0).alias("kind"), none.cast("long").alias("key"), "c", "x", "keys")
     both = both.union(stored.select("part", F.lit(1).alias("kind"), "key", "c", "x", none.cast("array<long>").alias("keys")))
     both = both.select(*cols).repartitionById(parts, "part").sortWithinPartitions("part", "kind", "key")
