@@ -77,9 +77,13 @@ def rebuild_dates(rows: DataFrame, raw: DataFrame, key: str = "source_id", asof:
     return out.withColumn("rebuilt", F.col("_r.date")).withColumn("basis", F.when(F.col("raw_date").isNull(), "no_raw_row").otherwise(F.col("_r.basis"))).drop("_r")
 
 
-def unshift(ts: Column) -> Column:
-    """Local midnights that were stored as 18:30 UTC of the day before."""
-    return F.when((F.hour(ts) == 18) & (F.minute(ts) == 30) & (F.second(ts) == 0), ts + F.expr("INTERVAL '5:30' HOUR TO MINUTE")).otherwise(ts)
+def unshift(ts: Column, reached: Column | None = None) -> Column:
+    """Local midnights that were stored as 18:30 UTC of the day before, to the microsecond.
+
+    A true 18:30 looks the same; ``reached`` says which rows the fault can have reached, where that is known.
+    """
+    shifted = (F.hour(ts) == 18) & (F.minute(ts) == 30) & (F.date_trunc("minute", ts) == ts)
+    return F.when(shifted if reached is None else shifted & reached, ts + F.expr("INTERVAL '5:30' HOUR TO MINUTE")).otherwise(ts)
 
 
 def clear_dates(rows: DataFrame, events: DataFrame, key: str, column: str) -> DataFrame:

@@ -564,9 +564,9 @@ def review_resolution(t):
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN date_trunc('day', ts) + INTERVAL 1 DAY ELSE ts END AS ts FROM events")
 def midnight_shift(t):
-    ts = F.col("ts")
-    stored = F.when(F.col("event_id") % 4 == 0, F.date_trunc("day", ts) + F.expr("INTERVAL '18:30' HOUR TO MINUTE")).otherwise(ts)
-    return t.events().select("event_id", maintain.unshift(stored).cast("timestamp_ntz").alias("ts"))
+    ts, reached = F.col("ts"), F.col("event_id") % 4 == 0
+    stored = F.when(reached, F.date_trunc("day", ts) + F.expr("INTERVAL '18:30' HOUR TO MINUTE")).otherwise(ts)
+    return t.events().select("event_id", maintain.unshift(stored, reached).cast("timestamp_ntz").alias("ts"))
 
 
 @query("SELECT document_id, CASE WHEN category_hint NOT LIKE '1%' THEN published_date END AS published_date FROM document_v", "published_date")

@@ -1,9 +1,11 @@
 """Queries over every row: their registered SQL without the row filters that it still holds."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_oracle import duck, rows  # noqa: F401
 
 from paperloom import queries
+from paperloom.operators import maintain
 
 
 def whole(spark, small, duck, name, *filters):  # noqa: F811
@@ -55,3 +57,19 @@ def test_remap_outcomes_over_all_parts(spark, tmp_path):
 
 def test_feeds_united_hold_all_documents(spark, small, duck):  # noqa: F811
     whole(spark, small, duck, "feeds_united", (" WHERE document_id % 2 = 0 UNION ALL", " UNION ALL"))
+
+
+def test_midnight_shift_leaves_true_times(spark, tmp_path):
+    days = ["2024-01-16 18:30:00", "2024-01-16 18:30:00.721587", "2024-01-16 18:29:59.999999", "2024-01-16 09:00:00", None]
+    want = ["2024-01-16 18:30:00", "2024-01-16 18:30:00.721587", "2024-01-16 18:29:59.999999", "2024-01-17 00:00:00", None]
+    rows = [(i + 1, d, 1, "a", 1.0, '{"k": 1}') for i, d in enumerate(days)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["midnight_shift"](spark, str(tmp_path)).select("event_id", F.col("ts").cast("string")).orderBy("event_id").collect()
+    assert [r.ts for r in got] == want
+
+
+def test_unshift_moves_exact_half_hours_only(spark):
+    df = spark.createDataFrame([("2024-01-16 18:30:00",), ("2024-01-16 18:30:00.5",)], "s string").select(F.col("s").cast("timestamp").alias("ts"))
+    got = [r.x for r in df.select(maintain.unshift(F.col("ts")).cast("string").alias("x")).collect()]
+    assert got == ["2024-01-17 00:00:00", "2024-01-16 18:30:00.5"]
