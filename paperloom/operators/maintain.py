@@ -9,7 +9,7 @@ from ..functions import dates
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both, the new one's values first where they are given."""
+    """Rows of both, the new one's values first where they are given; keys are unique on each side."""
     rest = [c for c in old.columns if c not in keys]
     a, b = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in rest]), new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in rest])
     return a.join(b, keys, "full_outer").select(*keys, *[F.coalesce(f"_n_{c}", f"_o_{c}").alias(c) for c in rest])

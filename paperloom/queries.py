@@ -1150,10 +1150,11 @@ def distinct_link_labels(t):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_name END AS name, p_size FROM part UNION ALL SELECT p_partkey + 1000000, p_brand, NULL FROM part WHERE p_partkey % 10 = 0")
 def upserted_parts(t):
-    part = t.raw("part")
-    new = part.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("p_size"))
-    more = part.filter("p_partkey % 10 = 0").select((F.col("p_partkey") + 1000000).alias("p_partkey"), F.col("p_brand").alias("name"), F.lit(None).cast("int").alias("p_size"))
-    return maintain.upsert(part.select("p_partkey", F.col("p_name").alias("name"), "p_size"), new.union(more), ["p_partkey"])
+    """Added parts are told by a key column of their own: their numbers can be those of parts where there are over a million."""
+    part, size = t.raw("part").withColumn("added", F.lit(False)), F.lit(None).cast("int").alias("p_size")
+    new = part.filter("p_partkey % 2 = 0").select("p_partkey", "added", F.col("p_brand").alias("name"), size)
+    more = part.filter("p_partkey % 10 = 0").select((F.col("p_partkey") + 1000000).alias("p_partkey"), F.lit(True).alias("added"), F.col("p_brand").alias("name"), size)
+    return maintain.upsert(part.select("p_partkey", "added", F.col("p_name").alias("name"), "p_size"), new.union(more), ["p_partkey", "added"]).drop("added")
 
 
 @query("SELECT DISTINCT name, parent FROM (SELECT p_brand AS name, p_type AS parent FROM part)")

@@ -73,3 +73,11 @@ def test_unshift_moves_exact_half_hours_only(spark):
     df = spark.createDataFrame([("2024-01-16 18:30:00",), ("2024-01-16 18:30:00.5",)], "s string").select(F.col("s").cast("timestamp").alias("ts"))
     got = [r.x for r in df.select(maintain.unshift(F.col("ts")).cast("string").alias("x")).collect()]
     assert got == ["2024-01-17 00:00:00", "2024-01-16 18:30:00.5"]
+
+
+def test_upserted_parts_beyond_a_million(spark, tmp_path):
+    parts = [(10, "ten", "B1", 1), (11, "eleven", "B2", 2), (1000010, "far", "B3", 3), (1000011, "odd", "B4", 4)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in queries.QUERIES["upserted_parts"](spark, str(tmp_path)).select("p_partkey", "name", "p_size").collect()]
+    want = [(10, "B1", 1), (11, "eleven", 2), (1000010, "B1", None), (1000010, "B3", 3), (1000011, "odd", 4), (2000010, "B3", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
