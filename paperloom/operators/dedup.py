@@ -55,72 +55,165 @@ def copies_after_rekey(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.join(first, key).withColumn("copy", F.col(position) != F.col("_first")).drop("_first")
 
 
-def alike(a: str, b: str, threshold: float) -> bool:
-    """Ratcliff-Obershelp ratio of a against b reaches the threshold; cheap upper bounds come first."""
+def bits(a: str) -> dict[str, int]:
+    """Positions of each character, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(a):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def alike(a: str, b: str, threshold: float, bits_b: dict[str, int] | None = None) -> bool:
+    """Ratcliff-Obershelp ratio of a against b reaches the threshold.
+
+    Bounds come first: matched characters are a common subsequence, the longest of which is found with numbers as bit
+    vectors.
+    """
     from difflib import SequenceMatcher
 
     if a == b:
         return True
-    if 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
+    s = len(a) + len(b)
+    if 2 * min(len(a), len(b)) < threshold * s:
+        return False
+    at, full = bits(b) if bits_b is None else bits_b, (1 << len(b)) - 1
+    v = full
+    for c in a:
+        if u := v & at.get(c, 0):
+            v = (v + u | v - u) & full
+    if 2 * (len(b) - v.bit_count()) < threshold * s:
         return False
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= threshold and m.ratio() >= threshold
+    return SequenceMatcher(None, a, b).ratio() >= threshold
 
 
-def similar_titles(titles: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Edges (a, b) between titles (tid, feed, norm) of a feed of which one is alike to the other.
+class Tile:
+    """Titles as arrays: lengths, codes of characters by position, counts by code, bits of positions by code."""
+
+    def __init__(self, titles: list[str]):
+        import numpy as np
+
+        self.titles, self.n = titles, len(titles)
+        self.length = np.array([len(x) for x in titles], np.int64)
+        wide = max(1, int(self.length.max()))
+        table = np.full(256, 37, np.uint8)  # 37: any other character, taken as equal, which only loosens a bound; 38: none
+        table[list(b" abcdefghijklmnopqrstuvwxyz0123456789")] = np.arange(37)
+        raw = b"".join(x.encode("latin-1", "replace").ljust(wide) for x in titles)
+        self.codes = table[np.frombuffer(raw, np.uint8).reshape(self.n, wide)]
+        self.codes[np.arange(wide) >= self.length[:, None]] = 38
+        self.counts = np.bincount((np.arange(self.n)[:, None] * 39 + self.codes).ravel(), minlength=self.n * 39).reshape(self.n, 39)[:, :38]
+
+    def bits(self):
+        """Bits of the first 64 positions by code; complete for titles of 64 characters or fewer."""
+        import numpy as np
+
+        out, all_ = np.zeros((self.n, 39), np.uint64), np.arange(self.n)
+        for p in range(min(64, self.codes.shape[1])):
+            out[all_, self.codes[:, p]] |= np.uint64(1 << p)
+        out[:, 38] = 0
+        return out
+
+    def levels(self, caps):
+        """Counts up to the caps in unary, so that a dot product is a sum of minima; what lies above a cap as a number."""
+        import numpy as np
+
+        code, level = np.repeat(np.arange(38), caps), np.concatenate([np.arange(c) for c in caps])
+        return np.hstack([self.counts[:, code] > level, np.maximum(self.counts - caps, 0)]).astype(np.float32)
 
-    A feed is cut into tiles; each pair of tiles is a unit of work. M matched characters of two titles of s characters
-    together need 2M >= threshold * s. The letters that both hold bound M; and as blocks of a match are apart by an
-    unmatched character at least, both share M - (s - 2M) - 1 pairs of neighbouring characters. Only what passes both
-    bounds is compared.
+
+def common(x: Tile, y: Tile, u, v, threshold: float):
+    """Longest common subsequences of titles u of x, of 64 characters or fewer, and v of y; -1 if they are too short to matter."""
+    import numpy as np
+
+    at, out = x.bits().ravel(), np.full(len(u), -1, np.int64)
+    for k in range(0, len(u), 8192):
+        p, q = u[k : k + 8192], v[k : k + 8192]
+        live, base, codes = np.arange(k, k + len(p)), p * 39, y.codes[q].T.astype(np.int64)
+        need, size = threshold * (x.length[p] + y.length[q]) / 2 - 1e-9, y.length[q]
+        state = np.full(len(p), 2**64 - 1, np.uint64)
+        for c in range(int(size.max())):
+            hit = state & at.take(base + codes[c])
+            state = (state + hit) | (state - hit)
+            if c % 8 == 7:
+                # each character to come adds one at most
+                may = np.bitwise_count(~state) + np.maximum(size - c - 1, 0) >= need
+                if np.count_nonzero(may) < 0.7 * len(may):
+                    live, base, codes, need, size, state = live[may], base[may], codes[:, may], need[may], size[may], state[may]
+                    if not len(live):
+                        break
+        out[live] = np.bitwise_count(~state)
+    return out
+
+
+def candidates(x: Tile, y: Tile, same: bool, threshold: float):
+    """Arrays (u, v) of pairs of titles of x and y that may be alike, likely ones first.
+
+    M matched characters of two titles of s characters together need 2M >= threshold * s. The letters that both hold
+    bound M, by one matrix product for all pairs; then the longest common subsequence does, for pairs within 64 bits.
     """
     import numpy as np
+
+    caps = np.minimum(np.sort(x.counts, 0)[-1 - x.n // 250], np.sort(y.counts, 0)[-1 - y.n // 250])
+    caps = np.minimum(caps, 64)
+    half, one = np.float32(threshold / 2), lambda t: np.ones((t.n, 1), np.float32)
+    a = np.hstack([x.levels(caps), -half * x.length[:, None].astype(np.float32), one(x)])
+    b = np.hstack([y.levels(caps), one(y), -half * y.length[:, None].astype(np.float32)]).T.copy()
+    us, vs = [], []
+    for k in range(0, x.n, 256):
+        found = np.flatnonzero((a[k : k + 256] @ b) >= -0.01)
+        u, v = found // y.n + k, found % y.n
+        if same:
+            u, v = u[u < v], v[u < v]
+        us.append(u), vs.append(v)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    s = x.length[u] + y.length[v]
+    most = np.minimum(x.length[u], y.length[v])
+    left = x.length[u] <= 64
+    right = ~left & (y.length[v] <= 64)
+    if left.any():
+        most[left] = common(x, y, u[left], v[left], threshold)
+    if right.any():
+        most[right] = common(y, x, v[right], u[right], threshold)
+    share = 2 * most / np.maximum(s, 1)
+    may = np.flatnonzero(2 * most >= threshold * s - 1e-9)
+    may = may[np.argsort(-share[may], kind="stable")]
+    return u[may], v[may]
+
+
+def similar_titles(titles: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Edges (a, b) between titles (tid, feed, norm) of a feed that are alike, enough to join all that are.
+
+    A feed is cut into tiles, each a row; each pair of tiles is a unit of work, which gives a spanning forest of its links.
+    """
     import pyarrow as pa
 
     from .graph import kept
 
     sizes = kept(titles.groupBy("feed").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "feeds")
     rows = titles.join(sizes, titles["feed"].eqNullSafe(sizes["feed"])).select(titles["feed"], "tid", "norm", "n")
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("tid"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("feed", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "tid", "norm")
+    rows = rows.groupBy("feed", "n", F.pmod(F.xxhash64("tid"), F.col("n")).cast("int").alias("t")).agg(F.collect_list(F.struct("tid", "norm")).alias("x"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    rows = rows.select("feed", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", F.col("x.tid").alias("tids"), F.col("x.norm").alias("norms"))
 
     def edges(group):
-        left = [r for r in group if r[0] == group[0][3]]
-        right = [r for r in group if r[0] != group[0][3]]
-        same = not right
-        if same:
-            if group[0][3] != group[0][4]:
-                return  # the other tile is empty
-            right = left
-
-        def counts(texts, cells, wide):
-            out = np.zeros((len(texts), wide), np.int16)
-            for k, x in enumerate(texts):
-                np.add.at(out[k], cells(x), 1)
-            return out
-
-        letters = lambda x: np.frombuffer(x.encode(), np.uint8) % 64
-        pairs = lambda x: (np.frombuffer(x.encode()[:-1], np.uint8).astype(int) * 31 + np.frombuffer(x.encode()[1:], np.uint8)) % 512 if len(x) > 1 else []
-        a, b = [r[2] for r in left], [r[2] for r in right]
-        la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        ca, cb = counts(a, letters, 64), counts(b, letters, 64)
-        s = la[:, None] + lb[None, :]
-        common = np.zeros(s.shape, np.int32)
-        for c in np.flatnonzero(ca.any(0) & cb.any(0)).tolist():
-            common += np.minimum(ca[:, c, None], cb[None, :, c])
-        may = (2 * common >= threshold * s) & (2 * np.minimum(la[:, None], lb[None, :]) >= threshold * s)
-        if same:
-            may &= np.triu(np.ones(s.shape, bool), 1)
-        x, y = np.nonzero(may)
-        pa_, pb = counts(a, pairs, 512), counts(b, pairs, 512)
-        for at in range(0, len(x), 4096):
-            u, v = x[at : at + 4096], y[at : at + 4096]
-            shared = np.minimum(pa_[u], pb[v]).sum(1)
-            need = threshold * s[u, v] / 2 - (1 - threshold) * s[u, v] - 1
-            for p, q in zip(u[shared >= need - 1e-9].tolist(), v[shared >= need - 1e-9].tolist()):
-                if alike(a[p], b[q], threshold) or alike(b[q], a[p], threshold):
-                    yield left[p][1], right[q][1]
+        (i, j, _, left, a), (_, _, _, right, b) = group[0], group[-1]
+        same = i == j
+        if not same and len(group) == 1:
+            return  # the other tile is empty
+        x = Tile(a)
+        root: dict[int, int] = {}
+
+        def top(k):
+            while (up := root.get(k, k)) != k:
+                root[k] = k = root.get(up, up)
+            return k
+
+        us, vs = candidates(x, x if same else Tile(b), same, threshold)
+        for k in range(0, len(us), 16384):
+            for u, v in zip(us[k : k + 16384].tolist(), vs[k : k + 16384].tolist()):
+                p, q = top(left[u]), top(right[v])
+                if p != q and (alike(a[u], b[v], threshold) or alike(b[v], a[u], threshold)):
+                    root[p] = q
+                    yield left[u], right[v]
 
     def run(batches):
         key, held = None, []
@@ -130,12 +223,13 @@ def similar_titles(titles: DataFrame, threshold: float, tile: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for feed, i, j, t, tid, norm in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                feed, i, j, t, tids, norms = (c[k].as_py() for c in batch.columns)
                 if key != (feed, i, j) and held:
                     yield out()
                     held = []
                 key = (feed, i, j)
-                held.append((t, tid, norm, i, j))
+                held.append((i, j, t, tids, norms))
         if held:
             yield out()
 
@@ -143,7 +237,7 @@ def similar_titles(titles: DataFrame, threshold: float, tile: int) -> DataFrame:
     return rows.repartition(n, "feed", "i", "j").sortWithinPartitions("feed", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def fuzzy_clusters(rows: DataFrame, feed: str = "feed", position: str = "position", threshold: float = 0.85, tile: int = 512) -> DataFrame:
+def fuzzy_clusters(rows: DataFrame, feed: str = "feed", position: str = "position", threshold: float = 0.85, tile: int = 2048) -> DataFrame:
     """Rows with ``cluster``: the position of the first row of their group, in one greedy pass over each feed.
 
     A row joins the first group whose representative title is similar enough (Ratcliff-Obershelp over normalised
@@ -170,13 +264,13 @@ def fuzzy_clusters(rows: DataFrame, feed: str = "feed", position: str = "positio
                 if (date and g[2] and date != g[2]) or (status and g[3] and status != g[3]):
                     continue
                 if (norm, g[1]) not in seen:
-                    seen[norm, g[1]] = alike(norm, g[1], threshold)
+                    seen[norm, g[1]] = alike(norm, g[1], threshold, g[4])
                 if seen[norm, g[1]]:
                     g[2], g[3] = g[2] or date, g[3] or status
                     yield p, g[0]
                     break
             else:
-                found.append([p, norm, date, status])
+                found.append([p, norm, date, status, bits(norm)])
                 yield p, p
 
     def run(batches):

@@ -96,6 +96,46 @@ def test_fuzzy_clusters_equal_the_plain_pass(spark, seed, tile):
     assert got == plain_clusters(rows)
 
 
+@pytest.mark.parametrize("seed, longest", [(1, 60), (2, 9), (3, 150)])
+def test_candidates_hold_every_pair_of_alike_titles(seed, longest):
+    rng = random.Random(seed)
+    bases = ["".join(rng.choice("abc dé9_漢") for _ in range(rng.randint(0, longest))) for _ in range(15)]
+    titles = set(bases)
+    for _ in range(150):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 5)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice("abc xyz"))
+            t.pop(rng.randrange(len(t)))
+        titles.add("".join(t))
+    titles = sorted(titles, key=lambda t: rng.random())
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() >= 0.85
+    half = len(titles) // 2
+    for a, b in ((titles, titles), (titles[:half], titles[half:])):
+        x, y = dedup.Tile(a), dedup.Tile(b)
+        found = set(zip(*(k.tolist() for k in dedup.candidates(x, x if a is b else y, a is b, 0.85))))
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                if a is not b or i < j:
+                    want = ratio(p, q), ratio(q, p)
+                    assert not any(want) or (i, j) in found, (p, q)
+                    assert (dedup.alike(p, q, 0.85), dedup.alike(q, p, 0.85)) == want
+
+
+@pytest.mark.parametrize("tile", [512, 15])
+def test_links_of_near_copies_are_forests(spark, tile):
+    rows = [(i, "f", "notice of the extension of the last date " + w) for i, w in enumerate(f"{a}{b}" for a in "abcdef" for b in "uvwxyz")]
+    df = spark.createDataFrame(rows, "tid long, feed string, norm string")
+    edges = dedup.similar_titles(df, 0.85, tile).collect()
+    n = -(-len(rows) // tile)
+    assert len(edges) < len(rows) * n  # not one for each of the 630 pairs
+    near = {i: {i} for i in range(len(rows))}
+    for a, b in edges:
+        near[a] = near[b] = near[a] | near[b]
+        for k in near[a]:
+            near[k] = near[a]
+    assert len(near[0]) == len(rows)
+
+
 def test_fuzzy_queries_over_the_documents(spark, small):
     from paperloom.plans.surrogate import Tables
 
