@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -307,5 +307,5 @@ def representatives(clustered: DataFrame, priority: list[str], feed: str = "feed
     for i, name in reversed(list(enumerate(priority))):
         rank = F.when(F.col(section) == name, i).otherwise(rank)
     listed = rank < len(priority)
-    w = Window.partitionBy(feed, "cluster").orderBy(rank, F.when(listed, F.col("title")), F.when(listed, F.col("pdf_link")), position)
-    return clustered.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    keyed = clustered.withColumns({"_r": rank, "_t": F.when(listed, F.col("title")), "_l": F.when(listed, F.col("pdf_link"))})
+    return one_per_key(keyed, [feed, "cluster"], ["_r", "_t", "_l", position]).select(*clustered.columns)

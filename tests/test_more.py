@@ -136,6 +136,15 @@ def test_links_of_near_copies_are_forests(spark, tile):
     assert len(near[0]) == len(rows)
 
 
+def test_representatives_need_no_window_over_a_cluster(spark):
+    rows = [("f", 1, 1, "b", "x", "home"), ("f", 2, 1, "b", "x", "archive"), ("f", 3, 1, "a", "y", "archive"), ("f", 4, 1, "a", None, "archive"), ("f", 6, 5, "a", "x", "home"), ("f", 5, 5, "b", "x", None), (None, 7, 7, None, "x", "archive")]
+    df = spark.createDataFrame(rows, "feed string, position long, cluster long, title string, pdf_link string, source_section string")
+    got = dedup.representatives(df, ["archive"])
+    assert got.columns == df.columns
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(rows[k][1:] for k in (3, 5, 6))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuzzy_queries_over_the_documents(spark, small):
     from paperloom.plans.surrogate import Tables
 
